@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latchflow.operators.fold import Fold, fold_ordered
+from latchflow.operators.metrics import rolling_fps
 from latchflow.operators.slices import Layout
-from latchflow.operators.timeline import numbered
+from latchflow.operators.timeline import last_before, numbered
 from latchflow.schema import (
     BLOCK_LOG_S,
     DEADBAND,
@@ -127,6 +128,20 @@ def fps_log(samples: DataFrame, layout: Layout, interval_s: float = FPS_LOG_S) -
     return marked.where("kept").drop("kept")
 
 
+def fps_report(frames: DataFrame, layout: Layout, interval_s: float = FPS_LOG_S) -> DataFrame:
+    """Reported frames with the rolling rate as of each, NULL before the first sample.
+
+    A frame without a sample of its own shows the rate of the latest one that has.
+    """
+    sampled = rolling_fps(frames, layout)
+    silent = frames.where("dt_us <= 0 OR dt_us IS NULL")
+    line = sampled.unionByName(silent, allowMissingColumns=True)
+    current = last_before(
+        line, ["trap_id"], FRAME_ORDER, {"fps_now": F.col("fps_avg")}, layout, inclusive=True
+    )
+    return fps_log(current, layout, interval_s)
+
+
 def deadband(
     series: DataFrame,
     order: Sequence[str],

@@ -214,6 +214,23 @@ def camera_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("label", label_of(F.col("class_id"), NAMES))
 
 
+def day_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crowded images: a camera's events of one day as the boxes of one image."""
+    e = F.col("event_id")
+    x1, y1 = (e * 37) % 60, (e * 53) % 50
+    return events(spark, sf_dir).select(
+        (F.col("user_id") % CAMERAS).alias("trap_id"),
+        F.unix_date(F.to_date("ts")).cast("long").alias("frame_id"),
+        e.alias("det_idx"),
+        (F.position(F.substring("event_type", 1, 1), F.lit("cepsv")) - 1).alias("class_id"),
+        (((e * 31) % 1000) / 1000.0).alias("conf"),
+        x1.cast("int").alias("x1"),
+        y1.cast("int").alias("y1"),
+        (x1 + 40 + (e * 17) % 30).cast("int").alias("x2"),
+        F.when(k_of(F.col("props")) == 3, y1).otherwise(y1 + 40 + (e * 29) % 25).cast("int").alias("y2"),
+    )
+
+
 def settings_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One settings text per event, good and broken."""
     name, k = F.col("event_type"), k_of(F.col("props"))
