@@ -17,19 +17,27 @@ def to_seconds(us: Column) -> Column:
     return us / F.lit(1_000_000.0)
 
 
+def _scaled_hundredths(part: Column, bits: int) -> Column:
+    scaled = (part * F.lit(float(1 << bits))).cast("long") * F.lit(100).cast("long")
+    down = F.shiftright(scaled, bits)
+    rest = scaled.bitwiseAND(F.lit((1 << bits) - 1))
+    half = F.lit(1 << (bits - 1))
+    up = (rest > half) | ((rest == half) & (down.bitwiseAND(F.lit(1)) == 1))
+    return down + up.cast("long")
+
+
 def hundredths(x: Column) -> Column:
     """Hundredths of a non-negative double, rounded on its exact binary value, ties to even.
 
-    The fraction is scaled by 2^56, which loses nothing that could decide a tie, so the
-    comparison with one half is done in whole numbers and stays inside generated code.
+    The fraction is scaled by a power of two that makes it a whole number (below 2^-8 bits are
+    lost, but there the result is zero), so the comparison with one half is exact and stays
+    inside generated code. Two scales keep the product with 100 within a long.
     """
     whole = F.floor(x)
-    scaled = ((x - whole) * F.lit(float(1 << 56))).cast("long") * F.lit(100).cast("long")
-    down = F.shiftright(scaled, 56)
-    rest = scaled.bitwiseAND(F.lit((1 << 56) - 1))
-    half = F.lit(1 << 55)
-    up = (rest > half) | ((rest == half) & (down.bitwiseAND(F.lit(1)) == 1))
-    return whole.cast("long") * 100 + down + up.cast("long")
+    part = x - whole
+    small = part < F.lit(1 / 16)
+    fine = F.when(small, _scaled_hundredths(F.when(small, part), 60))
+    return whole.cast("long") * 100 + F.coalesce(fine, _scaled_hundredths(part, 56))
 
 
 def fixed2(x: Column) -> Column:

@@ -6,8 +6,8 @@ row count. A slice is a function of (key, time) alone: every table derived from
 one can use the same layout, and rows with equal time are never parted.
 
 Keys below the limit are not sliced. Hot keys are those above ``total / (2 * partitions)`` rows,
-so there are fewer than ``2 * partitions`` of them, with at most as many cuts again: that bounds
-all that is brought to the driver or broadcast, whatever the size of the data.
+so there are fewer than ``2 * partitions`` of them, with a number of cells of the same order: that
+bounds all that is brought to the driver or broadcast, whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -99,8 +99,9 @@ def measure(df: DataFrame, keys: tuple[str, ...] = ("trap_id",), time: str = "t_
     """Find the hot keys of ``df`` and cut each into slices of about equal row count.
 
     A plain count settles small inputs. Otherwise one aggregation with map-side combine over the
-    key and time columns looks for hot keys, and only if there are any are the cuts read from
-    mergeable quantile sketches.
+    key and time columns looks for hot keys. Only if there are any, their time lines are counted
+    in cells, and cells that still hold too many rows are split and counted again, until each
+    fits a slice or is a single point in time.
     """
     spark = df.sparkSession
     plain = Layout(tuple(keys), time)
@@ -111,29 +112,45 @@ def measure(df: DataFrame, keys: tuple[str, ...] = ("trap_id",), time: str = "t_
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(time).alias("_lo"), F.max(time).alias("_hi")
     )
-    most = stats.agg(F.max("_n").alias("most")).first()["most"]
-    if most <= limit:
+    found = stats.where(F.col("_n") > limit).collect()
+    if not found:
         return plain
-    pieces = math.ceil(most / limit)
-    shares = [i / pieces for i in range(1, pieces)]
-    hot_stats = stats.where(F.col("_n") > limit)
-    cuts = F.percentile_approx(time, shares, max(10_000, 10 * pieces))
-    sketched = (
-        df.join(F.broadcast(hot_stats.select(*keys)), list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(time).alias("_lo"),
-            F.max(time).alias("_hi"),
-            cuts.alias("_cuts"),
-        )
-    )
-    hot, spans = {}, {}
-    for row in sketched.collect():
+    key_type = T.StructType([df.schema[k] for k in keys])
+    spans, cells, cuts = {}, {}, {}
+    for row in found:
         key = tuple(row[k] for k in keys)
-        own = math.ceil(row["_n"] / limit)
-        wanted = [row["_cuts"][math.ceil(i * pieces / own) - 1] for i in range(1, own)]
-        hot[key] = sorted({c for c in wanted if c > row["_lo"]})
         spans[key] = (row["_lo"], row["_hi"])
-    key_type = T.StructType([df.schema[k] for k in keys])
-    return Layout(tuple(keys), time, key_type, hot, spans)
+        cells[key] = [(row["_lo"], row["_n"])]
+    while any(_splits(spans[k][1], cells[k], limit) for k in cells):
+        cuts = {k: _split_starts(spans[k][1], cells[k], limit)[1:] for k in cells}
+        layout = Layout(tuple(keys), time, key_type, cuts, spans)
+        counted = layout.assign(df).where(F.col(SLICE).isNotNull()).groupBy(*keys, SLICE).count()
+        sizes = {k: [0] * (len(c) + 1) for k, c in cuts.items()}
+        for row in counted.collect():
+            sizes[tuple(row[k] for k in keys)][row[SLICE]] = row["count"]
+        cells = {k: list(zip([spans[k][0], *cuts[k]], sizes[k])) for k in cuts}
+    return Layout(tuple(keys), time, key_type, {k: _packed(c, limit) for k, c in cells.items()}, spans)
+
+
+def _splits(end: int, cells: list[tuple[int, int]], limit: int) -> bool:
+    return len(_split_starts(end, cells, limit)) > len(cells)
+
+
+def _split_starts(end: int, cells: list[tuple[int, int]], limit: int) -> list[int]:
+    """Starts of the cells after those above the limit are divided evenly in time."""
+    starts = []
+    for (start, n), stop in zip(cells, [*(s for s, _ in cells[1:]), end + 1]):
+        pieces = min(stop - start, 8 + 4 * (n // limit)) if n > limit else 1
+        starts += [start + (stop - start) * i // pieces for i in range(pieces)]
+    return starts
+
+
+def _packed(cells: list[tuple[int, int]], limit: int) -> list[int]:
+    """Cuts between runs of neighbouring cells that together stay within the limit."""
+    cuts, held = [], 0
+    for start, n in cells:
+        if held and held + n > limit:
+            cuts.append(start)
+            held = 0
+        held += n
+    return cuts

@@ -9,13 +9,14 @@ from latchflow.operators.detect import infer
 from latchflow.operators.gate import candidates
 from latchflow.plans import fleet
 from latchflow.plans.session import fresh_dir, prepare_streaming
+from latchflow.sources.feeds import BATCH_BYTES
 from latchflow.streaming import autoclose, boxcache, gate, sinks
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare_streaming(spark)
     source = spark.readStream.schema(fleet.EVENTS).option("pathGlobFilter", "events.parquet")
-    return source.option("maxFilesPerTrigger", 1000).parquet(sf_dir)
+    return source.option("maxBytesPerTrigger", BATCH_BYTES).parquet(sf_dir)
 
 
 def _candidates(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:

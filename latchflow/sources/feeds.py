@@ -7,6 +7,10 @@ from pyspark.sql import types as T
 from latchflow.functions.numbers import t_us
 from latchflow.schema import DETECTION, FRAME, RAW_RESULT, SESSION_KEY
 
+# A stateful stream sorts one trap's rows of a micro-batch in one task. The size of a micro-batch
+# bounds that, also when a single trap sends most of the rows.
+BATCH_BYTES = "512m"
+
 IMAGE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -43,10 +47,10 @@ def stream_detections(
     spark: SparkSession,
     path: str,
     fmt: str = "parquet",
-    files_per_batch: int = 1000,
+    bytes_per_batch: str = BATCH_BYTES,
     session_key: str = SESSION_KEY,
 ) -> DataFrame:
-    source = spark.readStream.schema(DETECTION).option("maxFilesPerTrigger", files_per_batch)
+    source = spark.readStream.schema(DETECTION).option("maxBytesPerTrigger", bytes_per_batch)
     return _sessioned(timed(source.format(fmt).load(path)), session_key)
 
 
