@@ -9,7 +9,7 @@ from latchflow.schema import DETECTION, FRAME, RAW_RESULT, SESSION_KEY
 
 # A stateful stream sorts one trap's rows of a micro-batch in one task. The size of a micro-batch
 # bounds that, also when a single trap sends most of the rows.
-BATCH_BYTES = "512m"
+BATCH_BYTES = 512 << 20
 
 IMAGE = T.StructType(
     [
@@ -47,7 +47,7 @@ def stream_detections(
     spark: SparkSession,
     path: str,
     fmt: str = "parquet",
-    bytes_per_batch: str = BATCH_BYTES,
+    bytes_per_batch: int = BATCH_BYTES,
     session_key: str = SESSION_KEY,
 ) -> DataFrame:
     source = spark.readStream.schema(DETECTION).option("maxBytesPerTrigger", bytes_per_batch)
