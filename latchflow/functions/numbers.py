@@ -9,6 +9,11 @@ def t_us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def whole_div(a: Column, b: Column) -> Column:
+    """Floor division of longs; only the exact multiple is divided, so no digit is lost."""
+    return ((a - F.pmod(a, b)) / b).cast("long")
+
+
 def to_micros(seconds: Column) -> Column:
     return F.round(seconds * F.lit(1_000_000.0)).cast("long")
 

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latchflow.functions.numbers import whole_div
 from latchflow.operators.slices import Layout, slice_limit
 from latchflow.operators.timeline import last_before, numbered
 from latchflow.schema import DETECTION_ORDER, FPS_SAMPLES, FRAME_ORDER, MIN_INTER_S, micros
@@ -42,7 +43,7 @@ def rolling_fps(frames: DataFrame, layout: Layout, samples: int = FPS_SAMPLES) -
         return timed.withColumn("fps_avg", F.avg("fps").over(w))
     size = max(slice_limit(frames.sparkSession, 0), 2 * samples)
     row = numbered(timed, ["trap_id"], FRAME_ORDER, "_rn", layout).withColumn("_rn", F.col("_rn") - 1)
-    block = F.floor(F.col("_rn") / size)
+    block = whole_div(F.col("_rn"), F.lit(size).cast("long"))
     into_next = F.col("_rn") % size >= size - back
     copies = F.when(into_next, F.array(block, block + 1)).otherwise(F.array(block))
     spread = row.withColumn("_block", F.explode(copies))
@@ -55,7 +56,7 @@ def latest_frames(frames: DataFrame, poll_us: int) -> DataFrame:
     """Only the newest frame of each poll; the rest of the backlog is dropped."""
     newest = F.max(F.struct("t_us", "frame_id"))
     return (
-        frames.groupBy("trap_id", F.floor(F.col("t_us") / poll_us).alias("poll"))
+        frames.groupBy("trap_id", whole_div(F.col("t_us"), F.lit(poll_us)).alias("poll"))
         .agg(newest.alias("_f"))
         .select("trap_id", "poll", "_f.frame_id", "_f.t_us")
     )

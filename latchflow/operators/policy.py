@@ -39,7 +39,7 @@ def resolve(rows: DataFrame, settings: Settings, label: str = "label") -> DataFr
         }
     )
     if settings.literal is not None:
-        return _resolve_literal(named, rows.columns, settings.literal)
+        return _resolve_literal(named, rows.columns, settings)
     return _resolve_joined(named, rows.columns, settings)
 
 
@@ -56,20 +56,22 @@ def _rule(hits: dict[str, Column]) -> Column:
     )
 
 
-def _resolve_literal(named: DataFrame, kept: list[str], policies: dict[str, tuple]) -> DataFrame:
-    """Few policies: set membership and a constant map, no join at all."""
-    hits = {probe: F.col(probe).isin(*policies) for probe in PROBES}
-    if not policies:
-        hits = {probe: F.lit(False) for probe in PROBES}
+def _resolve_literal(named: DataFrame, kept: list[str], settings: Settings) -> DataFrame:
+    """Few policies: the key by set membership, then one look-up of its fields.
+
+    The look-up is a broadcast join of a handful of rows. It also keeps later filters on the
+    fields above this point; otherwise they would repeat the label work for every use.
+    """
+    names = list(settings.literal)
+    hits = {p: F.col(p).isin(*names) if names else F.lit(False) for p in PROBES}
     key = F.coalesce(*(F.when(hits[p], F.col(p)) for p in PROBES), F.col("_fall"))
     chosen = named.select(*kept, key.alias("policy_key"), _rule(hits).alias("matched_rule"))
-    none = F.lit(None).cast("double")
+    return _with_fields_of(chosen, kept, F.broadcast(settings.policies))
 
-    def field(i: int) -> Column:
-        pairs = [F.lit(v) for k, values in policies.items() if values[i] is not None for v in (k, values[i])]
-        return F.try_element_at(F.create_map(*pairs), F.col("policy_key")) if pairs else none
 
-    return chosen.withColumns({name: field(i) for i, name in enumerate(FIELDS)})
+def _with_fields_of(chosen: DataFrame, kept: list[str], policies: DataFrame) -> DataFrame:
+    fields = policies.select(F.col("key").alias("policy_key"), *FIELDS)
+    return chosen.join(fields, "policy_key", "left").select(*kept, "policy_key", "matched_rule", *FIELDS)
 
 
 def _resolve_joined(named: DataFrame, kept: list[str], settings: Settings) -> DataFrame:
@@ -84,10 +86,7 @@ def _resolve_joined(named: DataFrame, kept: list[str], settings: Settings) -> Da
         F.coalesce(*(f"_hit{p}" for p in PROBES), "_fall").alias("policy_key"),
         _rule(hits).alias("matched_rule"),
     )
-    policies = settings.dimension().select(F.col("key").alias("policy_key"), *FIELDS)
-    return chosen.join(policies, "policy_key", "left").select(
-        *kept, "policy_key", "matched_rule", *FIELDS
-    )
+    return _with_fields_of(chosen, kept, settings.dimension())
 
 
 def with_fields(rows: DataFrame, conf: float = GLOBAL_CONF) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latchflow.functions.numbers import whole_div
+
 SLICE = "slice_no"
 SLICE_ROWS = "spark.latchflow.sliceRows"
 MIN_SLICE_ROWS = 1_000_000
@@ -43,7 +45,7 @@ class Layout:
         table = F.broadcast(df.sparkSession.createDataFrame(self._lookup(), self._lookup_type()))
         t = F.col(self.time)
         width = F.col("_bin_us")
-        at = F.greatest(F.lit(0), F.least(F.size("_first") - 1, F.floor((t - F.col("_start")) / width)))
+        at = F.greatest(F.lit(0), F.least(F.size("_first") - 1, whole_div(t - F.col("_start"), width)))
         first = F.element_at("_first", (at + 1).cast("int"))
         many = F.element_at("_many", (at + 1).cast("int"))
         near = F.slice("_cuts", first + 1, many)

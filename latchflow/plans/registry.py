@@ -11,7 +11,7 @@ from latchflow.functions.boxes import crop
 from latchflow.functions.labels import cooldown_key, label_slug
 from latchflow.functions.numbers import t_us
 from latchflow.operators import boxcache, detect, door, metrics, policy, render, thinning
-from latchflow.operators.gate import candidates, decisions
+from latchflow.operators.gate import decisions
 from latchflow.operators.slices import measure
 from latchflow.operators.suppress import suppress
 from latchflow.plans import fleet, streams

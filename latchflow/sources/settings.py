@@ -100,9 +100,9 @@ def parse_settings(
 class Settings:
     """Policies as a dimension, and which fallback rules they offer.
 
-    A settings file normally names a few species: up to ``LITERAL_KEYS`` policies are held as
-    plain values and written into the plan. Above that they are joined, and broadcast only up
-    to ``BROADCAST_ROWS``.
+    A settings file normally names a few species: up to ``LITERAL_KEYS`` policies are also held
+    as plain values, whose keys are written into the plan. Above that keys are joined, and
+    broadcast only up to ``BROADCAST_ROWS``.
     """
 
     policies: DataFrame
