@@ -13,7 +13,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,7 @@ from latchflow.plans.session import shared_dir
 class Fold:
     """One state machine. Subclasses are small picklable objects.
 
-    ``inputs`` are the columns handed to ``step``; ``outputs`` the columns it returns. Where keys
+    ``inputs`` are the columns handed to ``run``; ``outputs`` the columns it returns. Where keys
     may be sliced the first input is the time.
     """
 
@@ -36,8 +38,11 @@ class Fold:
         """State before the first row of a key."""
         raise NotImplementedError
 
-    def step(self, state, *row) -> tuple:
-        """Apply one row to ``state`` in place and return the output values."""
+    def run(self, state, *columns: list) -> tuple[list, ...]:
+        """Apply consecutive rows of one key, given as columns; returns the output columns.
+
+        ``state`` is changed in place.
+        """
         raise NotImplementedError
 
     def freeze(self, state, at: int) -> tuple:
@@ -55,11 +60,17 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def _batches(stream: Iterator[pa.RecordBatch], keys: Sequence[str], inputs: Sequence[str]):
-    for batch in stream:
-        if batch.num_rows:
-            columns = {n: _values(batch.column(n)) for n in {*keys, *inputs}}
-            yield batch, zip(*(columns[k] for k in keys)), zip(*(columns[n] for n in inputs))
+def _segments(batch: pa.RecordBatch, keys: Sequence[str], inputs: Sequence[str]):
+    """Runs of equal keys in a batch, each with its input columns."""
+    ends = np.unique(
+        np.concatenate([pc.run_end_encode(batch.column(k)).run_ends.to_numpy() for k in keys])
+    ).tolist()
+    columns = [_values(batch.column(n)) for n in inputs]
+    start = 0
+    for end in ends:
+        key = tuple(batch.column(k)[start].as_py() for k in keys)
+        yield key, [c[start:end] for c in columns]
+        start = end
 
 
 def _emitter(fold: Fold, keys: Sequence[str], entries: dict[tuple, tuple]) -> Callable:
@@ -68,15 +79,18 @@ def _emitter(fold: Fold, keys: Sequence[str], entries: dict[tuple, tuple]) -> Ca
     names = [f.name for f in fold.outputs]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, step = None, None, fold.step
-        for batch, key_rows, rows in _batches(stream, keys, fold.inputs):
-            results = []
-            for key, row in zip(key_rows, rows):
+        current, state = None, None
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            results = [[] for _ in names]
+            for key, columns in _segments(batch, keys, fold.inputs):
                 if key != current:
                     current = key
                     state = fold.thaw(entries[key]) if key in entries else fold.fresh()
-                results.append(step(state, *row))
-            added = [pa.array(v, t) for v, t in zip(zip(*results), out_types)]
+                for whole, part in zip(results, fold.run(state, *columns)):
+                    whole += part
+            added = [pa.array(v, t) for v, t in zip(results, out_types)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *added], [*batch.schema.names, *names]
             )
@@ -95,15 +109,17 @@ def _prober(fold: Fold, keys: Sequence[str], trials: dict[tuple, list[tuple]]) -
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, pairs, at, done = None, [], 0, []
-        for _, key_rows, rows in _batches(stream, keys, fold.inputs):
-            for key, row in zip(key_rows, rows):
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            for key, columns in _segments(batch, keys, fold.inputs):
                 if key != current:
                     done += record(current, pairs, at)
                     current = key
                     pairs = [(entry, fold.thaw(entry)) for entry in trials.get(key, ())]
-                at = row[0]
+                at = columns[0][-1]
                 for _, state in pairs:
-                    fold.step(state, *row)
+                    fold.run(state, *columns)
         done += record(current, pairs, at)
         if done:
             yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,7 @@ and still overwrites the deadlines, even with earlier ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,19 +18,10 @@ from latchflow.operators.fold import Fold, fold_ordered
 from latchflow.operators.slices import Layout
 from latchflow.schema import DETECTION_ORDER, MIN_INTER_S, micros
 
-FIRST, OK, BUSY, COOLING = "first_trigger", "ok", "global_busy", "species_cooldown"
+# Reasons in the order of the codes the state machine returns.
+REASONS = FIRST, OK, BUSY, COOLING = "first_trigger", "ok", "global_busy", "species_cooldown"
 
-VERDICT = T.StructType(
-    [
-        T.StructField("ok", T.BooleanType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("species_left_us", T.LongType()),
-        T.StructField("busy_left_us", T.LongType()),
-        T.StructField("hold_until_us", T.LongType()),
-        T.StructField("busy_until_us", T.LongType()),
-        T.StructField("cooldown_until_us", T.LongType()),
-    ]
-)
+VERDICT = ("ok", "reason", "species_left_us", "busy_left_us", "hold_until_us", "busy_until_us", "cooldown_until_us")
 
 
 class GateState:
@@ -45,7 +36,9 @@ class GateState:
 
 class GateFold(Fold):
     inputs = ("t_us", "cooldown_key", "open_us", "cooldown_us", "force")
-    outputs = VERDICT
+    outputs = T.StructType(
+        [T.StructField("gate_code", T.IntegerType()), T.StructField("gate_left_us", T.LongType())]
+    )
 
     def __init__(self, min_inter_us: int):
         self.min_inter_us = min_inter_us
@@ -53,21 +46,30 @@ class GateFold(Fold):
     def fresh(self):
         return GateState()
 
-    def step(self, state, t, key, open_us, cooldown_us, force):
-        busy = state.busy
-        reason = OK
-        if busy is None:
-            reason = FIRST
-        elif not force:
-            if t < busy:
-                return False, BUSY, 0, busy - t, None, None, None
-            ready = state.cooling.get(key)
-            if ready is not None and t < ready:
-                return False, COOLING, ready - t, 0, None, None, None
-        hold = t + open_us
-        state.busy = hold + self.min_inter_us
-        state.cooling[key] = t + cooldown_us
-        return True, reason, 0, 0, hold, state.busy, t + cooldown_us
+    def run(self, state, times, keys, opens, cooldowns, forces):
+        codes, lefts = [], []
+        busy, cooling, pause = state.busy, state.cooling, self.min_inter_us
+        for t, key, hold, cooldown, force in zip(times, keys, opens, cooldowns, forces):
+            if busy is None:
+                codes.append(0)
+            elif force:
+                codes.append(1)
+            elif t < busy:
+                codes.append(2)
+                lefts.append(busy - t)
+                continue
+            else:
+                ready = cooling.get(key, t)
+                if t < ready:
+                    codes.append(3)
+                    lefts.append(ready - t)
+                    continue
+                codes.append(1)
+            lefts.append(0)
+            busy = t + hold + pause
+            cooling[key] = t + cooldown
+        state.busy = busy
+        return codes, lefts
 
     def freeze(self, state, at):
         if state.busy is None:
@@ -79,6 +81,24 @@ class GateFold(Fold):
         return GateState(frozen[0], frozen[1:])
 
 
+def verdict(min_inter_us: int) -> dict[str, Column]:
+    """Verdict columns from what the state machine returned and the row itself."""
+    code, left, t = F.col("gate_code"), F.col("gate_left_us"), F.col("t_us")
+    fired = code <= 1
+    hold = t + F.col("open_us")
+    none = F.lit(0).cast("long")
+    values = (
+        fired,
+        F.element_at(F.array(*map(F.lit, REASONS)), code + 1),
+        F.when(code == 3, left).when(code.isNotNull(), none),
+        F.when(code == 2, left).when(code.isNotNull(), none),
+        F.when(fired, hold),
+        F.when(fired, hold + min_inter_us),
+        F.when(fired, t + F.col("cooldown_us")),
+    )
+    return dict(zip(VERDICT, values))
+
+
 def candidates(resolved: DataFrame) -> DataFrame:
     """Rows that reach the gate: eligible or forced, with durations as whole microseconds."""
     return (
@@ -91,7 +111,9 @@ def candidates(resolved: DataFrame) -> DataFrame:
 
 def gate(rows: DataFrame, layout: Layout, min_inter_s: float = MIN_INTER_S) -> DataFrame:
     """Append the gate's verdict to candidate rows."""
-    return fold_ordered(rows, ["trap_id"], DETECTION_ORDER, GateFold(micros(min_inter_s)), layout)
+    pause = micros(min_inter_s)
+    judged = fold_ordered(rows, ["trap_id"], DETECTION_ORDER, GateFold(pause), layout)
+    return judged.withColumns(verdict(pause)).drop("gate_code", "gate_left_us")
 
 
 def decisions(resolved: DataFrame, layout: Layout, min_inter_s: float = MIN_INTER_S) -> DataFrame:

@@ -19,18 +19,22 @@ class SuppressFold(Fold):
     def fresh(self):
         return []
 
-    def step(self, state, x1, y1, x2, y2):
-        area = (x2 - x1) * (y2 - y1)
-        for a1, b1, a2, b2, other in state:
-            w = min(x2, a2) - max(x1, a1)
-            h = min(y2, b2) - max(y1, b1)
-            if w > 0 and h > 0:
-                shared = w * h
-                # Overlap above one half, in whole numbers: 2 * shared > union.
-                if 3 * shared > area + other:
-                    return (False,)
-        state.append((x1, y1, x2, y2, area))
-        return (True,)
+    def run(self, state, lefts, tops, rights, bottoms):
+        flags = []
+        for x1, y1, x2, y2 in zip(lefts, tops, rights, bottoms):
+            area = (x2 - x1) * (y2 - y1)
+            keep = True
+            for a1, b1, a2, b2, other in state:
+                w = min(x2, a2) - max(x1, a1)
+                h = min(y2, b2) - max(y1, b1)
+                # Overlap above one half, in whole numbers: 2 * shared > area + other - shared.
+                if w > 0 and h > 0 and 3 * w * h > area + other:
+                    keep = False
+                    break
+            if keep:
+                state.append((x1, y1, x2, y2, area))
+            flags.append(keep)
+        return (flags,)
 
 
 def suppress(boxes: DataFrame) -> DataFrame:

@@ -44,15 +44,19 @@ class ThrottleFold(Fold):
     def fresh(self):
         return [None]
 
-    def step(self, state, t):
-        last = state[0]
-        if last is None:
-            state[0] = t
-            return (not self.start_counts,)
-        if (t - last) * self.rate >= self.unit:
-            state[0] = t
-            return (True,)
-        return (False,)
+    def run(self, state, times):
+        kept, last, rate, unit = [], state[0], self.rate, self.unit
+        for t in times:
+            if last is None:
+                kept.append(not self.start_counts)
+                last = t
+            elif (t - last) * rate >= unit:
+                kept.append(True)
+                last = t
+            else:
+                kept.append(False)
+        state[0] = last
+        return (kept,)
 
     def freeze(self, state, at):
         last = state[0]
@@ -83,12 +87,16 @@ class DeadbandFold(Fold):
     def fresh(self):
         return [None, None]
 
-    def step(self, state, t, value):
+    def run(self, state, times, values):
+        kept, band, gap = [], self.band, self.gap_us
         last_value, last_t = state
-        if last_t is None or abs(value - last_value) >= self.band or t - last_t >= self.gap_us:
-            state[:] = value, t
-            return (True,)
-        return (False,)
+        for t, value in zip(times, values):
+            keep = last_t is None or abs(value - last_value) >= band or t - last_t >= gap
+            if keep:
+                last_value, last_t = value, t
+            kept.append(keep)
+        state[:] = last_value, last_t
+        return (kept,)
 
     def freeze(self, state, at):
         # Once the gap has passed the next row is kept whatever its value.

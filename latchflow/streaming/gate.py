@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from latchflow.operators.gate import VERDICT, GateFold, GateState
+from latchflow.operators.gate import VERDICT, GateFold, GateState, verdict
 from latchflow.schema import DETECTION_ORDER, MIN_INTER_S, micros
 
 DEADLINES = "deadlines"
@@ -17,7 +17,7 @@ COOLDOWNS = "cooldowns"
 
 
 class GateProcessor(StatefulProcessor):
-    """Applies the batch gate's step to the rows of each micro-batch, in time order.
+    """Applies the batch gate to the rows of each micro-batch, in time order.
 
     Rows older than the last one applied come out marked late, with no verdict and without any
     effect on the state.
@@ -42,17 +42,15 @@ class GateProcessor(StatefulProcessor):
             if self.cooldowns.containsKey((name,)):
                 state.cooling[name] = self.cooldowns.getValue((name,))[0]
         before = dict(state.cooling)
-        verdicts, late = [], []
-        # Sorted rows: once one is on time all later ones are.
-        for row in batch[list(self.fold.inputs)].itertuples(index=False, name=None):
-            stale = last is not None and row[0] < last
-            late.append(stale)
-            if stale:
-                verdicts.append((None,) * len(VERDICT))
-                continue
-            verdict = self.fold.step(state, *row)
-            hold = verdict[4] if verdict[0] else hold
-            verdicts.append(verdict)
+        late = (batch["t_us"] < last) if last is not None else pd.Series(False, index=batch.index)
+        # Rows are sorted, so the late ones come first.
+        skipped = int(late.sum())
+        on_time = batch.iloc[skipped:]
+        codes, lefts = self.fold.run(state, *(on_time[c].tolist() for c in self.fold.inputs))
+        for i in range(len(codes) - 1, -1, -1):
+            if codes[i] <= 1:
+                hold = int(on_time["t_us"].iloc[i] + on_time["open_us"].iloc[i])
+                break
         newest = int(batch["t_us"].iloc[-1])
         last = newest if last is None else max(last, newest)
         self.deadlines.update((state.busy, hold, last))
@@ -60,9 +58,8 @@ class GateProcessor(StatefulProcessor):
             if before.get(name) != until:
                 self.cooldowns.updateValue((name,), (until,))
         out = batch[self.columns].copy()
-        for field, values in zip(VERDICT.fields, zip(*verdicts)):
-            kind = {"boolean": "boolean", "long": "Int64"}.get(field.dataType.typeName(), object)
-            out[field.name] = pd.array(list(values), dtype=kind) if kind != object else list(values)
+        out["gate_code"] = pd.array([None] * skipped + codes, dtype="Int32")
+        out["gate_left_us"] = pd.array([None] * skipped + lefts, dtype="Int64")
         out["late"] = late
         yield out
 
@@ -75,12 +72,15 @@ def gate_stream(candidates: DataFrame, min_inter_s: float = MIN_INTER_S) -> Data
 
     No watermark is involved: the gate never waits for rows, and what comes too late is shown.
     """
+    pause = micros(min_inter_s)
     schema = T.StructType(
-        candidates.schema.fields + VERDICT.fields + [T.StructField("late", T.BooleanType())]
+        candidates.schema.fields + GateFold.outputs.fields + [T.StructField("late", T.BooleanType())]
     )
-    return candidates.groupBy("trap_id").transformWithStateInPandas(
-        GateProcessor(candidates.columns, micros(min_inter_s)), schema, "Append", "None"
+    judged = candidates.groupBy("trap_id").transformWithStateInPandas(
+        GateProcessor(candidates.columns, pause), schema, "Append", "None"
     )
+    columns = [*candidates.columns, *VERDICT, "late"]
+    return judged.withColumns(verdict(pause)).select(*columns)
 
 
 def read_deadlines(spark: SparkSession, checkpoint: str) -> DataFrame:
