@@ -89,7 +89,7 @@ def verdict(min_inter_us: int) -> dict[str, Column]:
     none = F.lit(0).cast("long")
     values = (
         fired,
-        F.element_at(F.array(*map(F.lit, REASONS)), code + 1),
+        F.get(F.array(*map(F.lit, REASONS)), code),
         F.when(code == 3, left).when(code.isNotNull(), none),
         F.when(code == 2, left).when(code.isNotNull(), none),
         F.when(fired, hold),

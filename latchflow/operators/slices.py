@@ -46,8 +46,8 @@ class Layout:
         t = F.col(self.time)
         width = F.col("_bin_us")
         at = F.greatest(F.lit(0), F.least(F.size("_first") - 1, whole_div(t - F.col("_start"), width)))
-        first = F.element_at("_first", (at + 1).cast("int"))
-        many = F.element_at("_many", (at + 1).cast("int"))
+        first = F.get("_first", at.cast("int"))
+        many = F.get("_many", at.cast("int"))
         near = F.slice("_cuts", first + 1, many)
         number = F.when(many == 0, first).otherwise(
             first + F.size(F.filter(near, lambda cut: cut <= t))
