@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latchflow.operators.slices import SLICE, Layout
+from latchflow.operators.slices import SLICE, Layout, task_count
 from latchflow.plans.session import shared_dir
 
 
@@ -213,7 +213,7 @@ def fold_ordered(
     """Append the outputs of ``fold`` to every row of ``df``; rows of a key are taken in ``order``."""
     keys, order = list(keys), list(order)
     # A given number keeps AQE from merging small shuffles: the work is Python time, not bytes.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = task_count(df.sparkSession, layout.total)
     schema = T.StructType(df.schema.fields + fold.outputs.fields)
     if not layout.hot:
         placed = df.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)

@@ -5,9 +5,9 @@ A trap may hold a large share of all rows, so its time line is cut into slices o
 row count. A slice is a function of (key, time) alone: every table derived from the measured
 one can use the same layout, and rows with equal time are never parted.
 
-Keys below the limit are not sliced. Hot keys are those above ``total / (2 * partitions)`` rows,
-so there are fewer than ``2 * partitions`` of them, with a number of cells of the same order: that
-bounds all that is brought to the driver or broadcast, whatever the size of the data.
+Keys below the limit are not sliced. Hot keys are those above ``total / (2 * tasks)`` rows, so
+there are fewer than ``2 * tasks`` of them, with a number of cells of the same order: that bounds
+all that is brought to the driver or broadcast, whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from latchflow.functions.numbers import whole_div
 SLICE = "slice_no"
 SLICE_ROWS = "spark.latchflow.sliceRows"
 MIN_SLICE_ROWS = 1_000_000
+TASK_ROWS = 10_000_000
+MAX_TASKS = 100_000
 BINS_PER_CUT = 8
 
 
@@ -37,6 +39,7 @@ class Layout:
     key_type: T.StructType | None = None
     hot: dict[tuple, list[int]] = field(default_factory=dict)
     spans: dict[tuple, tuple[int, int]] = field(default_factory=dict)
+    total: int = 0
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the slice number: NULL for keys that are not hot."""
@@ -88,13 +91,18 @@ class Layout:
         return rows
 
 
+def task_count(spark: SparkSession, total: int) -> int:
+    """Tasks for a shuffle of ``total`` rows: the session's number, more when that is too few."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, min(MAX_TASKS, math.ceil(total / TASK_ROWS)))
+
+
 def slice_limit(spark: SparkSession, total: int) -> int:
     """Rows one slice may hold; the setting overrides the share of the total."""
     set_rows = spark.conf.get(SLICE_ROWS, None)
     if set_rows is not None:
         return int(set_rows)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_SLICE_ROWS, total // (2 * partitions))
+    return max(MIN_SLICE_ROWS, total // (2 * task_count(spark, total)))
 
 
 def measure(df: DataFrame, keys: tuple[str, ...] = ("trap_id",), time: str = "t_us") -> Layout:
@@ -106,8 +114,8 @@ def measure(df: DataFrame, keys: tuple[str, ...] = ("trap_id",), time: str = "t_
     fits a slice or is a single point in time.
     """
     spark = df.sparkSession
-    plain = Layout(tuple(keys), time)
     total = df.count()
+    plain = Layout(tuple(keys), time, total=total)
     limit = slice_limit(spark, total)
     if total <= limit:
         return plain
@@ -131,7 +139,8 @@ def measure(df: DataFrame, keys: tuple[str, ...] = ("trap_id",), time: str = "t_
         for row in counted.collect():
             sizes[tuple(row[k] for k in keys)][row[SLICE]] = row["count"]
         cells = {k: list(zip([spans[k][0], *cuts[k]], sizes[k])) for k in cuts}
-    return Layout(tuple(keys), time, key_type, {k: _packed(c, limit) for k, c in cells.items()}, spans)
+    packed = {k: _packed(c, limit) for k, c in cells.items()}
+    return Layout(tuple(keys), time, key_type, packed, spans, total)
 
 
 def _splits(end: int, cells: list[tuple[int, int]], limit: int) -> bool:

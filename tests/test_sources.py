@@ -142,6 +142,20 @@ def test_feeds_and_images(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("SELECT xyxy[0][2], conf[0], cls[0] FROM found").collect()] == [(3.0, 0.5, 1)]
 
 
+def test_detection_feeds(spark, tmp_path):
+    path = str(tmp_path / "detections")
+    spark.sql(
+        "SELECT 1L trap_id, id frame_id, IF(id = 3, NULL, timestamp_micros(id)) frame_ts, 0L det_idx, 'fox' label, "
+        "0.5D conf, IF(id = 1, 's9', NULL) session_key, IF(id = 1, true, NULL) force FROM range(4)"
+    ).write.parquet(path)
+    expected = [(0, "session_1", False, 0), (1, "s9", True, 1), (2, "session_1", False, 2)]
+    columns = ["frame_id", "session_key", "force", "t_us"]
+    assert sorted(map(tuple, feeds.read_detections(spark, path).select(*columns).collect())) == expected
+    rows = feeds.stream_detections(spark, path).select(*columns)
+    rows.writeStream.format("memory").queryName("fed").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("fed").collect())) == expected
+
+
 def test_event_table_and_quiet_log(spark, tmp_path):
     fired = spark.createDataFrame([(1, 1, 0, 86_400_000_000, "session_1", "Fox", 0.5, S, 8 * S)],
                                   "trap_id long, frame_id long, det_idx long, t_us long, session_key string, "
