@@ -53,6 +53,10 @@ class Fold:
         """State of a frozen form."""
         raise NotImplementedError
 
+    def idle(self, at: int) -> tuple:
+        """Frozen form at ``at`` of a state that has seen rows but holds nothing pending."""
+        raise NotImplementedError
+
 
 def _values(column: pa.Array) -> list:
     if column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
@@ -145,7 +149,8 @@ def _entry_states(
     """True entry state of every slice of the hot keys.
 
     ``placed`` holds sorted slices and is already cut from its lineage. Everything kept here is
-    per slice, of which there is a bounded number. All end states reported so far are tried as
+    per slice, of which there is a bounded number. The first assumption is that nothing is
+    pending, which is right wherever a slice starts after a quiet time. All end states reported so far are tried as
     entry states of the next slice, so machines that forget quickly settle in two or three
     rounds and periodic ones as soon as their few phases are known.
     """
@@ -160,7 +165,7 @@ def _entry_states(
     trials = {(*key, line[0][0]): [fresh] for key, line in starts.items()}
     for key, line in starts.items():
         for number, at in line[1:]:
-            trials[(*key, number)] = [fold.freeze(fold.fresh(), at)]
+            trials[(*key, number)] = [fold.idle(at)]
     while trials:
         chosen = placed.where(F.col(SLICE).isin(sorted({k[-1] for k in trials})))
         probe = chosen.mapInArrow(

@@ -77,6 +77,9 @@ class GateFold(Fold):
         cooling = sorted((k, until) for k, until in state.cooling.items() if until > at)
         return (max(state.busy, at), *cooling)
 
+    def idle(self, at):
+        return (at,)
+
     def thaw(self, frozen):
         return GateState(frozen[0], frozen[1:])
 

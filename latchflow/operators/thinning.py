@@ -66,6 +66,9 @@ class ThrottleFold(Fold):
         due = (at - last) * self.rate >= self.unit
         return ("due", at) if due else ("at", last)
 
+    def idle(self, at):
+        return ("due", at)
+
     def thaw(self, frozen):
         if frozen[0] is None:
             return [None]
@@ -104,6 +107,9 @@ class DeadbandFold(Fold):
             return (0.0, at - self.gap_us)
         return tuple(state)
 
+    def idle(self, at):
+        return (0.0, at - self.gap_us)
+
     def thaw(self, frozen):
         return list(frozen)
 

@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder.
     """
     context = spark.sparkContext
-    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
