@@ -8,6 +8,8 @@ and still overwrites the deadlines, even with earlier ones.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,27 +49,36 @@ class GateFold(Fold):
         return GateState()
 
     def run(self, state, times, keys, opens, cooldowns, forces):
+        forced = any(forces)
         codes, lefts = [], []
         busy, cooling, pause = state.busy, state.cooling, self.min_inter_us
-        for t, key, hold, cooldown, force in zip(times, keys, opens, cooldowns, forces):
+        i, n = 0, len(times)
+        while i < n:
+            t, key = times[i], keys[i]
             if busy is None:
-                codes.append(0)
-            elif force:
-                codes.append(1)
+                code = 0
+            elif forced and forces[i]:
+                code = 1
             elif t < busy:
-                codes.append(2)
-                lefts.append(busy - t)
+                # Times are sorted: all rows up to the end of the busy window are blocked at once.
+                end = i + 1 if forced else bisect_left(times, busy, i + 1)
+                codes += [2] * (end - i)
+                lefts += [busy - blocked for blocked in times[i:end]]
+                i = end
                 continue
             else:
                 ready = cooling.get(key, t)
                 if t < ready:
                     codes.append(3)
                     lefts.append(ready - t)
+                    i += 1
                     continue
-                codes.append(1)
+                code = 1
+            codes.append(code)
             lefts.append(0)
-            busy = t + hold + pause
-            cooling[key] = t + cooldown
+            busy = t + opens[i] + pause
+            cooling[key] = t + cooldowns[i]
+            i += 1
         state.busy = busy
         return codes, lefts
 
