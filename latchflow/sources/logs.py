@@ -26,19 +26,25 @@ def parse_trap_log(lines: DataFrame, line: str = "value") -> DataFrame:
     The stamps carry no zone and stay zone-less.
     """
     text = F.col(line)
-    matched = text.rlike(TRAP_LINE)
-
-    def part(group: int, kind: str = "string") -> Column:
-        return F.when(matched, _part(text, TRAP_LINE, group, kind))
-
-    return lines.withColumns(
-        {
-            "matched": F.coalesce(matched, F.lit(False)),
-            "ts": F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"),
-            "label": part(2),
-            "open_s": part(3, "double"),
-            "cooldown_s": part(4, "double"),
-        }
+    # One pass takes all parts; the label comes last, so it may hold any character.
+    whole = F.regexp_replace(text, TRAP_LINE, "$1\x01$3\x01$4\x01$2")
+    parts = F.when(text.rlike(TRAP_LINE), F.split(whole, "\x01", 4))
+
+    def part(at: int) -> Column:
+        return F.get("_parts", F.lit(at))
+
+    return (
+        lines.withColumn("_parts", parts)
+        .withColumns(
+            {
+                "matched": F.col("_parts").isNotNull(),
+                "ts": F.try_to_timestamp(part(0), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"),
+                "label": part(3),
+                "open_s": part(1).try_cast("double"),
+                "cooldown_s": part(2).try_cast("double"),
+            }
+        )
+        .drop("_parts")
     )
 
 
@@ -56,8 +62,18 @@ def parse_console_log(lines: DataFrame, line: str = "value") -> DataFrame:
         ("start", START_LINE),
         ("sink", SINK_LINE),
     ]
-    form = F.coalesce(*(F.when(text.rlike(pattern), F.lit(name)) for name, pattern in forms))
     pattern_of = dict(forms)
+    tags = {
+        "trig": "TRIG", "cooling": "BLOCK", "busy": "BLOCK", "block": "BLOCK", "photo": "PHOTO",
+        "fps": "FPS", "fps_none": "FPS", "start": "Start", "sink": "Firebase",
+    }
+    # The tag is compared first, so a line meets only the patterns of its own tag.
+    form = F.coalesce(
+        *(
+            F.when(F.startswith(text, F.lit(f"[{tags[name]}]")) & text.rlike(pattern), F.lit(name))
+            for name, pattern in forms
+        )
+    )
 
     def pick(group_of: dict[str, int], kind: str = "string") -> Column:
         return F.coalesce(
@@ -67,10 +83,6 @@ def parse_console_log(lines: DataFrame, line: str = "value") -> DataFrame:
             )
         )
 
-    tags = {
-        "trig": "TRIG", "cooling": "BLOCK", "busy": "BLOCK", "block": "BLOCK", "photo": "PHOTO",
-        "fps": "FPS", "fps_none": "FPS", "start": "Start", "sink": "Firebase",
-    }
     tag = F.coalesce(*(F.when(F.col("_form") == n, F.lit(t)) for n, t in tags.items()))
     reason = (
         F.when(F.col("_form") == "cooling", "species_cooldown")
