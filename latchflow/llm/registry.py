@@ -1,15 +1,17 @@
 """Queries of this package, and their SQL where SQL can express them."""
 
-from latchflow.llm import jaccard_join, rule_ledger, sharding
+from latchflow.llm import decontaminate, jaccard_join, rule_ledger, sharding
 
 QUERIES = {
     "op2_rule_ledger": rule_ledger.query,
+    "op5_spaced_seeds": decontaminate.query,
     "op6_feistel_shards": sharding.query,
     "op9_signature_tree_join": jaccard_join.query,
 }
 
 ORACLES = {
     "op2_rule_ledger": rule_ledger.oracle,
+    "op5_spaced_seeds": decontaminate.oracle,
     "op6_feistel_shards": sharding.oracle,
     "op9_signature_tree_join": jaccard_join.oracle,
 }
