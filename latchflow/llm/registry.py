@@ -1,11 +1,12 @@
 """Queries of this package, and their SQL where SQL can express them."""
 
-from latchflow.llm import decontaminate, jaccard_join, rule_ledger, sharding
+from latchflow.llm import decontaminate, jaccard_join, rule_ledger, sharding, token_files
 
 QUERIES = {
     "op2_rule_ledger": rule_ledger.query,
     "op5_spaced_seeds": decontaminate.query,
     "op6_feistel_shards": sharding.query,
+    "op7_mixing_coder": token_files.query,
     "op9_signature_tree_join": jaccard_join.query,
 }
 
