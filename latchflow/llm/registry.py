@@ -1,6 +1,6 @@
 """Queries of this package, and their SQL where SQL can express them."""
 
-from latchflow.llm import decontaminate, jaccard_join, rule_ledger, sharding, token_files
+from latchflow.llm import decontaminate, jaccard_join, mixing, rule_ledger, sharding, token_files
 
 QUERIES = {
     "op2_rule_ledger": rule_ledger.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_feistel_shards": sharding.query,
     "op7_mixing_coder": token_files.query,
     "op9_signature_tree_join": jaccard_join.query,
+    "op10_hypergeometric_mix": mixing.query,
 }
 
 ORACLES = {
