@@ -7,10 +7,22 @@ as the next stage's docs. All but the last return the columns of `documents`.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latchflow.llm import jaccard_join
+from latchflow.llm import decontaminate, jaccard_join, mixing, token_files, toxicity
 from latchflow.plans.session import fresh_dir
 
 
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """Add _key: the doc_id, or a negative number from the text where there is none."""
+    lone = -F.abs(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 1)) - 1
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), lone))
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on the labels, does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.grade(docs, model, *docs.columns).where(~F.col("toxic")).select(*docs.columns)
+
+
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
@@ -24,8 +36,29 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.dropDuplicates(["doc_id"]).unionByName(lone)
 
 
+def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    keyed = _with_row_key(docs)
+    pairs = decontaminate.leaks(keyed.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key")
+    return keyed.join(pairs.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix draws them, 0 to 2 times."""
+    return mixing.draws(docs).select(*docs.columns)
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix, what the coded token files hold of it."""
+    return token_files.encode(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 STAGES = [
+    ("clean_documents", clean_documents),
     ("distinct_documents", distinct_documents),
+    ("unseen_documents", unseen_documents),
+    ("mixed_documents", mixed_documents),
+    ("encoded_documents", encoded_documents),
 ]
 
 #: Training, drawing and coding have no SQL; tests compare the stages with brute force.

@@ -28,6 +28,9 @@ IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: A-Z become a-z, other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Letters and digits, with all bytes of longer characters.
+IN_NAME = np.zeros(256, dtype=bool)
+IN_NAME[0x30:0x3A] = IN_NAME[0x41:0x5B] = IN_NAME[0x61:0x7B] = IN_NAME[0x80:] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,9 +72,9 @@ class Slice:
         np.cumsum(flags, out=total[1:])
         return np.diff(total[self.offsets])
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, table: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end byte of each word, and each row's first word (one more entry than rows)."""
-        inside = IN_WORD[self.data]
+        inside = table[self.data]
         before = np.zeros(len(inside), dtype=bool)
         before[1:] = inside[:-1]
         before[self.offsets[self.offsets < len(inside)]] = False
@@ -220,3 +223,21 @@ def round_keys(key: int) -> list[int]:
     """62-bit round keys, the top bits of the mixed numbers key * ROUNDS + 1 .. + ROUNDS."""
     first = (key * ROUNDS) & 0xFFFFFFFFFFFF
     return [int(k) >> 2 for k in mix(np.arange(first + 1, first + 1 + ROUNDS, dtype=np.uint64))]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, most: int, *by: str) -> DataFrame:
+    """Documents of at most `most` labelled ids per value of `by` (of all, without), by the ids' hashes.
+
+    Only ids and labels are ordered and broadcast, at most `most` for each value.
+    """
+    values = labels.select(*by).distinct().collect() if by else [None]
+    parts = []
+    for value in values:
+        own = labels
+        for name in by:
+            own = own.where(F.col(name) == value[name])
+        parts.append(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    ids = parts[0] if parts else labels.limit(0)
+    for part in parts[1:]:
+        ids = ids.unionByName(part)
+    return docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id")
