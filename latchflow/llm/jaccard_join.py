@@ -4,10 +4,14 @@ A document's set holds the hashes of its distinct shingles (runs of `words` word
 documents link when 100 * |a & b| >= percent * |a | b|. The steps:
 
 1. Equal sets become one class (two 64-bit sums and the size), its smallest doc_id the representative.
-2. Classes are cut into islands that cannot link with each other: in any fixed order of shingles, linked
-   sets share one of their first n - ceil(share * n) + 1 shingles. The order puts shingles that
-   many documents share last; which ones is counted over all documents, and only speeds things up.
-   Classes are tied to the smallest class with the same shingle, never to each other.
+2. Classes are cut into islands that cannot link with each other. Sizes fall into levels; sets of one
+   level that link differ in at most D shingles. The hash range is cut into D + 1 + SPARE buckets, so linked
+   sets have more than SPARE buckets of equal content, and meet in one: a set shows a hash of each
+   bucket with two shingles or more, for these are hardly ever equal by chance; if more than SPARE
+   buckets hold less, also those of one shingle, and if more are empty, also the empty ones.
+   Sets show these hashes at the level of every size they may link with. Equal hashes tie sets to the
+   smallest doc_id with the same hash, first inside a task's share and then over all, never to each
+   other.
 3. An island is one or more blocks of sets, ordered by size, with at most BLOCK shingles each (or
    one set). Each block becomes a signature tree, and trees are traversed in pairs; see
    `signature_trees`. Large islands first join each block with itself and the next one, then only
@@ -19,6 +23,8 @@ Repeated rows are copies; rows that share a doc_id but not the text count as one
 table gives an empty result. Other columns are ignored.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +37,8 @@ from latchflow.llm.signature_trees import link
 WORDS, PERCENT = 4, 85
 #: Shingles of a block: two blocks are what a task holds.
 BLOCK = 1_000_000
-#: A shingle seen this often in one task's share is reported; so often in total, it is ordered last.
-SEEN, CROWDED = 3, 32
-#: Most shingles that are ordered last (8 bytes each are broadcast). It bounds a hint, not the result.
-MOST = 1 << 17
+#: Bucket hashes that a task gathers before it sends them on, and that one later group may hold.
+GATHER = 2_000_000
 
 
 def shingle_sets(text: pa.Array, words: int):
@@ -62,70 +66,151 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(found ^ U64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2))
 
 
-def _crowded(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many documents, the rarest first; counted over all documents."""
-
-    def report(held):
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= SEEN
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "n"]
-        )
+def _digests(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n and two sums over the set."""
 
     def tasks(batches):
-        held, size = [], 0
         for batch in batches:
-            for found in shingle_sets(batch.column("text"), words):
-                held.append(found)
-                size += len(found)
-                if size > 2 * BLOCK:
-                    yield report(held)
-                    held, size = [], 0
-        if held:
-            yield report(held)
-
-    top = (
-        docs.select("text").mapInArrow(tasks, "shingle long, n long")
-        .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWDED)
-        .orderBy(F.desc("n"), "shingle").limit(MOST).toPandas()
-    )
-    return top["shingle"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
-
-
-def _digests(docs: DataFrame, words: int, percent: int, crowded: np.ndarray) -> DataFrame:
-    """doc_id, n, two sums, and the shingles by which linked sets meet."""
-    by_value = np.argsort(crowded)
-    values = crowded[by_value]
-
-    def tasks(batches):
-        for batch in batches:
-            n, sums, keys, ends = [], [], [], [0]
+            n, sums = [], []
             for found in shingle_sets(batch.column("text"), words):
                 n.append(len(found))
                 sums.append(_digest(found))
-                if len(found):
-                    take = len(found) - -(-percent * len(found) // 100) + 1
-                    if len(values):
-                        place = np.minimum(np.searchsorted(values, found), len(values) - 1)
-                        late = values[place] == found
-                        light = found[~late]
-                        if len(light) < take:
-                            light = np.concatenate([light, crowded[np.sort(by_value[place[late]])]])
-                        keys.append(light[:take])
-                    else:
-                        keys.append(found[:take])
-                    ends.append(ends[-1] + take)
-                else:
-                    ends.append(ends[-1])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             d = np.array(sums, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["doc_id", "n", "d1", "d2", "keys"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                ["doc_id", "n", "d1", "d2"],
             )
 
-    return docs.mapInArrow(tasks, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(tasks, "doc_id long, n long, d1 long, d2 long")
+
+
+def level(size: int) -> int:
+    """Smallest j with size <= 2^(j / 4)."""
+    j = max(0, 4 * (size - 1).bit_length() - 4)
+    while size**4 > 1 << j:
+        j += 1
+    return j
+
+
+def buckets(j: int, percent: int) -> tuple[int, int]:
+    """Number of buckets at a level, and how many more than the largest difference they are."""
+    top = math.isqrt(math.isqrt(1 << j))
+    most = 2 * top * (100 - percent) // (100 + percent)
+    spare = 3 + most * (100 - percent) // 40
+    return most + 1 + spare, spare
+
+
+def bucket_hashes(found: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes by which a set meets those it may link with."""
+    total = np.zeros(len(found) + 1, dtype=np.uint64)
+    np.cumsum(mix(found), out=total[1:])
+    out = []
+    for j in range(level(len(found)), level(len(found) * 100 // percent) + 1):
+        count, spare = buckets(j, percent)
+        cuts = np.searchsorted(((found >> U64(32)) * U64(count)) >> U64(32), np.arange(count + 1))
+        names = mix(np.arange(count, dtype=np.uint64) + U64(j << 40))
+        hashes = mix((total[cuts[1:]] - total[cuts[:-1]]) ^ names)
+        filled = cuts[1:] - cuts[:-1]
+        least = next((few for few in (2, 1) if np.count_nonzero(filled < few) <= spare), 0)
+        out.append(hashes[filled >= least])
+    return np.concatenate(out)
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Little-endian bytes of the values, all first bytes, then all second ones: these compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(data: bytes, width: int) -> np.ndarray:
+    parts = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((parts.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = parts.T
+    return out.reshape(-1).view(np.uint64)
+
+
+def _tie(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the smallest id of each hash, and the ties (id, smallest id) of the others."""
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    lead = ids[new][np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([ids[ids != lead], lead[ids != lead]], axis=1), axis=0)
+    return order[new], pairs[:, 0], pairs[:, 1]
+
+
+def _ties(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
+    """Ties (u, v) of documents that share a bucket's hash; `total` is the number of shingles.
+
+    Tasks send hashes packed by their top bits; 40 further bits are compared, and an equal pair by
+    chance only makes an island larger.
+    """
+    bits = max(0, (total // GATHER).bit_length())
+
+    def gathered(hashes, ids):
+        hashes, ids = np.concatenate(hashes), np.concatenate(ids)
+        kept, u, v = _tie(hashes, ids)
+        hashes, ids = hashes[kept], ids[kept]
+        group = (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        edges = np.flatnonzero(np.diff(group, prepend=-1))
+        low = (hashes >> U64(24 - bits)) & U64((1 << 40) - 1)
+        cuts = [*edges.tolist(), len(hashes)]
+        names = [*group[edges].tolist(), -1]
+        blobs = [_planes(low[a:b], 5) for a, b in zip(cuts, cuts[1:], strict=False)]
+        whose = [_planes(ids[a:b], 8) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array([*blobs, u.tobytes()], pa.binary()), pa.array([*whose, v.tobytes()], pa.binary())],
+            ["part", "hashes", "ids"],
+        )
+
+    def show(batches):
+        hashes, ids, size, seen = [], [], 0, set()
+        for batch in batches:
+            names = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for row, found in enumerate(shingle_sets(batch.column("text"), words)):
+                digest = _digest(found)
+                if not len(found) or digest in seen:
+                    continue
+                seen.add(digest)
+                hashes.append(bucket_hashes(found, percent))
+                ids.append(np.full(len(hashes[-1]), names[row], dtype=np.int64))
+                size += len(hashes[-1])
+                if size >= GATHER:
+                    yield gathered(hashes, ids)
+                    hashes, ids, size, seen = [], [], 0, set()
+        if hashes:
+            yield gathered(hashes, ids)
+
+    def meet(batches):
+        part, hashes, ids = None, [], []
+        for batch in batches:
+            u, v = [], []
+            for row in range(batch.num_rows):
+                now, a, b = (batch.column(i)[row].as_py() for i in range(3))
+                if now == -1:
+                    u.append(np.frombuffer(a, dtype=np.int64))
+                    v.append(np.frombuffer(b, dtype=np.int64))
+                    continue
+                if now != part and hashes:
+                    pairs = _tie(np.concatenate(hashes), np.concatenate(ids))
+                    u.append(pairs[1])
+                    v.append(pairs[2])
+                    hashes, ids = [], []
+                part = now
+                hashes.append(_unplanes(a, 5))
+                ids.append(_unplanes(b, 8).view(np.int64))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], ["u", "v"])
+        if hashes:
+            pairs = _tie(np.concatenate(hashes), np.concatenate(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[1:]], ["u", "v"])
+
+    sent = docs.where("doc_id IS NOT NULL").mapInArrow(show, "part long, hashes binary, ids binary")
+    spread = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.abs(F.xxhash64("ids") % 4096))
+    return (
+        sent.withColumn("_to", spread).repartition("_to").sortWithinPartitions("part").drop("_to")
+        .mapInArrow(meet, "u long, v long")
+    )
 
 
 def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -197,27 +282,27 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = checkpointed(_digests(docs, words, percent, _crowded(docs, words)))
-    classes = checkpointed(
-        digests.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n")
-        .agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
-    )
-    keys = classes.select("class_id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("class_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    ties = keys.join(shared, "key").select(F.col("class_id").alias("u"), F.col("first").alias("v"))
-    islands = components(ties).select(F.col("node").alias("class_id"), F.col("component").alias("island"))
-    members = classes.join(islands, "class_id").select("class_id", "n", "d1", "d2", "island")
+    digests = checkpointed(_digests(docs, words))
+    own = ["d1", "d2", "n"]
+    full = digests.where("n > 0 AND doc_id IS NOT NULL")
+    classes = full.groupBy(*own).agg(F.min("doc_id").alias("class_id"))
+    total = full.agg(F.sum("n")).first()[0] or 0
+    islands = components(_ties(docs, words, percent, total))
+    tied = islands.join(full, F.col("node") == F.col("doc_id")).groupBy(*own).agg(F.min("component").alias("island"))
+    members = tied.join(classes, own).select("class_id", *own, "island")
+    several = members.groupBy("island").agg(F.count("*").alias("_c")).where("_c > 1").select("island")
+    members = members.join(several, "island")
     placed = checkpointed(
         running(members, "island", [F.col("n"), F.col("class_id")], "n", "_before")
         .withColumn("block", F.expr(f"_before div {block}")).withColumn("label", F.col("class_id")).drop("_before")
     )
     links = _links(docs, placed, words, percent)
     linked = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
-    named = classes.select("d1", "d2", "n", "class_id").join(linked, "class_id", "left").select(
-        "d1", "d2", "n", F.coalesce("component_id", "class_id").alias("component_id")
+    named = classes.join(linked, "class_id", "left").select(
+        *own, F.coalesce("component_id", "class_id").alias("component_id")
     )
     none = F.col("doc_id").isNull()
-    return digests.join(named, ["d1", "d2", "n"], "left").select(
+    return digests.join(named, own, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(~none, F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
