@@ -29,8 +29,8 @@ from latchflow.plans.session import fresh_dir
 END = 1
 #: Ids after which a frame is closed.
 FRAME = 4_000_000
-#: Words that a Python worker remembers.
-STORE = 500_000
+#: Words that a Python worker remembers lately; it keeps as many earlier ones.
+STORE = 300_000
 
 
 def vocabulary() -> str:
@@ -46,7 +46,7 @@ def _worker(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        held.path, held.tokenizer, held.words = path, Tokenizer.from_file(path), {}
+        held.path, held.tokenizer, held.words, held.older = path, Tokenizer.from_file(path), {}, {}
     return held
 
 
@@ -59,8 +59,11 @@ def encoded(text: pa.Array, path: str):
         data = part.data.tobytes()
         names = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(held.words) > STORE:
-            held.words.clear()
+            held.older, held.words = held.words, {}
         known = held.words
+        for w in names:
+            if w not in known and w in held.older:
+                known[w] = held.older[w]
         new = [w for w in names if w not in known]
         if new:
             found = held.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
