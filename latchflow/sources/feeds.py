@@ -63,11 +63,15 @@ def _sessioned(rows: DataFrame, session_key: str) -> DataFrame:
     )
 
 
-def read_images(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
+#: File names of images, unless a caller names others.
+IMAGES = "*.{jpg,jpeg,png,JPG,JPEG,PNG}"
+
+
+def read_images(spark: SparkSession, path: str, glob: str = IMAGES) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
-def stream_images(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
+def stream_images(spark: SparkSession, path: str, glob: str = IMAGES) -> DataFrame:
     return (
         spark.readStream.format("binaryFile").schema(IMAGE).option("pathGlobFilter", glob).load(path)
     )

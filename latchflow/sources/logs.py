@@ -38,7 +38,7 @@ def parse_trap_log(lines: DataFrame, line: str = "value") -> DataFrame:
         .withColumns(
             {
                 "matched": F.col("_parts").isNotNull(),
-                "ts": F.try_to_timestamp(part(0), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"),
+                "ts": part(0).try_cast("timestamp_ntz"),
                 "label": part(3),
                 "open_s": part(1).try_cast("double"),
                 "cooldown_s": part(2).try_cast("double"),

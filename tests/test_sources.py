@@ -169,3 +169,16 @@ def test_event_table_and_quiet_log(spark, tmp_path):
     sinks.write_log(lines, str(tmp_path / "log"))
     assert [r.value for r in spark.read.text(str(tmp_path / "log")).collect()] == ["a"]
     assert sinks.log_lines(lines, quiet=False).count() == 2
+
+
+def test_log_stamps_do_not_move_with_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    line = "[2025-03-09 02:30:00] Trap triggered by 'fox'. Open for 1s, cooldown 20s."
+    lines = spark.createDataFrame([(line,)], "value string")
+    try:
+        for name in ("UTC", "America/New_York"):  # the hour does not exist in the second one
+            spark.conf.set("spark.sql.session.timeZone", name)
+            stamp = logs.parse_trap_log(lines).select(F.col("ts").cast("string").alias("t")).first()["t"]
+            assert stamp == "2025-03-09 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
