@@ -446,7 +446,7 @@ def build() -> dict[str, str]:
         "fps_log_emit": f"""WITH RECURSIVE {FRAMES}, {ROLLING},
             {throttle("frames", "c.t_us - h.last >= 36000000000", "FALSE")}
             SELECT t.trap_id, t.frame_id, t.t_us, round(s.fps_avg, 6) AS fps_now,
-                   CASE WHEN s.fps_avg IS NULL THEN '[FPS] no frames yet' ELSE '[FPS] avg' END AS line
+                   CASE WHEN s.fps_avg IS NULL THEN '[FPS] no frames yet' ELSE '[FPS] avg=' || printf('%.2f', round(s.fps_avg, 6)) END AS line
             FROM thrown t ASOF LEFT JOIN sampled s ON s.trap_id = t.trap_id AND t.t_us >= s.t_us""",
         "door_timeline": _timeline(),
         "deadband_thin": f"""WITH RECURSIVE num AS (

@@ -327,10 +327,8 @@ def throttle_block_log(spark, sf_dir):
 def fps_log_emit(spark, sf_dir):
     rows = fleet.frames(spark, sf_dir).select("trap_id", "frame_id", "t_us", "dt_us")
     reported = thinning.fps_report(rows, measure(rows), 10 * fleet.HOUR_S)
-    return reported.select(
-        "trap_id", "frame_id", "t_us", F.round("fps_now", 6).alias("fps_now"),
-        F.regexp_replace(render.fps_line(F.col("fps_now")), r"avg=\d.*", "avg").alias("line"),
-    )
+    rate = F.round("fps_now", 6)
+    return reported.select("trap_id", "frame_id", "t_us", rate.alias("fps_now"), render.fps_line(rate).alias("line"))
 
 
 @query
