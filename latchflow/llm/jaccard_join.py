@@ -139,11 +139,21 @@ def _tie(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order[new], pairs[:, 0], pairs[:, 1]
 
 
+def _distinct(u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of the given pieces once."""
+    a, b = np.concatenate(u), np.concatenate(v)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _ties(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
     """Ties (u, v) of documents that share a bucket's hash; `total` is the number of shingles.
 
     Tasks send hashes packed by their top bits; 40 further bits are compared, and an equal pair by
-    chance only makes an island larger.
+    chance only makes an island larger. A pair meets in many packed groups; a task passes it on once.
     """
     bits = max(0, (total // GATHER).bit_length())
 
@@ -183,27 +193,40 @@ def _ties(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
 
     def meet(batches):
         part, hashes, ids = None, [], []
+        u, v, size = [], [], 0
+
+        def sent_on(u, v):
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
         for batch in batches:
-            u, v = [], []
             for row in range(batch.num_rows):
                 now, a, b = (batch.column(i)[row].as_py() for i in range(3))
                 if now == -1:
                     u.append(np.frombuffer(a, dtype=np.int64))
                     v.append(np.frombuffer(b, dtype=np.int64))
-                    continue
-                if now != part and hashes:
-                    pairs = _tie(np.concatenate(hashes), np.concatenate(ids))
-                    u.append(pairs[1])
-                    v.append(pairs[2])
-                    hashes, ids = [], []
-                part = now
-                hashes.append(_unplanes(a, 5))
-                ids.append(_unplanes(b, 8).view(np.int64))
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], ["u", "v"])
+                    size += len(u[-1])
+                else:
+                    if now != part and hashes:
+                        _, more_u, more_v = _tie(np.concatenate(hashes), np.concatenate(ids))
+                        u.append(more_u)
+                        v.append(more_v)
+                        size += len(more_u)
+                        hashes, ids = [], []
+                    part = now
+                    hashes.append(_unplanes(a, 5))
+                    ids.append(_unplanes(b, 8).view(np.int64))
+                if size >= GATHER:
+                    one_u, one_v = _distinct(u, v)
+                    if len(one_u) > GATHER // 2:
+                        yield sent_on(one_u, one_v)
+                        one_u, one_v = one_u[:0], one_v[:0]
+                    u, v, size = [one_u], [one_v], len(one_u)
         if hashes:
-            pairs = _tie(np.concatenate(hashes), np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[1:]], ["u", "v"])
+            _, more_u, more_v = _tie(np.concatenate(hashes), np.concatenate(ids))
+            u.append(more_u)
+            v.append(more_v)
+        if u:
+            yield sent_on(*_distinct(u, v))
 
     sent = docs.where("doc_id IS NOT NULL").mapInArrow(show, "part long, hashes binary, ids binary")
     spread = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.abs(F.xxhash64("ids") % 4096))

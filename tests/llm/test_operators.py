@@ -123,6 +123,22 @@ def test_jaccard_join_against_all_pairs(spark, rows, words, percent, block):
     assert Counter(map(tuple, found.collect())) == _links_by_hand(table, words, percent)
 
 
+def test_distinct_pairs():
+    u, v = [np.array([3, 1, 3]), np.array([1, 3])], [np.array([1, 0, 1]), np.array([2, 1])]
+    a, b = jaccard_join._distinct(u, v)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 0), (1, 2), (3, 1)]
+
+
+def test_join_whatever_a_task_gathers(spark, rows, monkeypatch):
+    table = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    whole = Counter(map(tuple, jaccard_join.join(table).collect()))
+    monkeypatch.setattr(jaccard_join, "GATHER", 3)
+    # copies are told apart only inside what a task gathers, so more of them tie, never fewer
+    ties = jaccard_join._ties(table, 4, 85, 60)
+    assert ties.where("u <= v").isEmpty()
+    assert Counter(map(tuple, jaccard_join.join(table).collect())) == whole
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.join(empty).count() == 0
 
