@@ -10,8 +10,10 @@ documents link when 100 * |a & b| >= percent * |a | b|. The steps:
    bucket with two shingles or more, for these are hardly ever equal by chance; if more than SPARE
    buckets hold less, also those of one shingle, and if more are empty, also the empty ones.
    Sets show these hashes at the level of every size they may link with. Equal hashes tie sets to the
-   smallest doc_id with the same hash, first inside a task's share and then over all, never to each
-   other.
+   smallest id with the same hash, never to each other. A few hashes of each set (AHEAD a level) are
+   tied first: alike sets share most of their hashes, so this already gives them one label. Then all
+   hashes meet under these labels, first inside a task's share and then over all, and only sets that
+   are still apart become ties there; else a pair would be found anew in every task.
 3. An island is one or more blocks of sets, ordered by size, with at most BLOCK shingles each (or
    one set). Each block becomes a signature tree, and trees are traversed in pairs; see
    `signature_trees`. Large islands first join each block with itself and the next one, then only
@@ -39,6 +41,8 @@ WORDS, PERCENT = 4, 85
 BLOCK = 1_000_000
 #: Bucket hashes that a task gathers before it sends them on, and that one later group may hold.
 GATHER = 2_000_000
+#: Bucket hashes of a level that are tied ahead of the others. Any number gives the same islands.
+AHEAD = 4
 
 
 def shingle_sets(text: pa.Array, words: int):
@@ -66,22 +70,26 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(found ^ U64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2))
 
 
-def _digests(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n and two sums over the set."""
+def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, two sums over the set and the hashes that are tied ahead."""
 
     def tasks(batches):
         for batch in batches:
-            n, sums = [], []
+            n, sums, ahead, borders = [], [], [np.zeros(0, dtype=np.uint64)], [0]
             for found in shingle_sets(batch.column("text"), words):
                 n.append(len(found))
                 sums.append(_digest(found))
+                few = [h[:AHEAD] for h in level_hashes(found, percent)]
+                ahead += few
+                borders.append(borders[-1] + sum(map(len, few)))
             d = np.array(sums, dtype=np.int64).reshape(-1, 2)
+            shown = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(np.concatenate(ahead).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                ["doc_id", "n", "d1", "d2"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), shown],
+                ["doc_id", "n", "d1", "d2", "ahead"],
             )
 
-    return docs.mapInArrow(tasks, "doc_id long, n long, d1 long, d2 long")
+    return docs.mapInArrow(tasks, "doc_id long, n long, d1 long, d2 long, ahead array<long>")
 
 
 def level(size: int) -> int:
@@ -100,8 +108,10 @@ def buckets(j: int, percent: int) -> tuple[int, int]:
     return most + 1 + spare, spare
 
 
-def bucket_hashes(found: np.ndarray, percent: int) -> np.ndarray:
-    """The hashes by which a set meets those it may link with."""
+def level_hashes(found: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The hashes by which a set meets those it may link with, level by level."""
+    if not len(found):
+        return []
     total = np.zeros(len(found) + 1, dtype=np.uint64)
     np.cumsum(mix(found), out=total[1:])
     out = []
@@ -113,7 +123,12 @@ def bucket_hashes(found: np.ndarray, percent: int) -> np.ndarray:
         filled = cuts[1:] - cuts[:-1]
         least = next((few for few in (2, 1) if np.count_nonzero(filled < few) <= spare), 0)
         out.append(hashes[filled >= least])
-    return np.concatenate(out)
+    return out
+
+
+def bucket_hashes(found: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes of all levels."""
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *level_hashes(found, percent)])
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -149,8 +164,15 @@ def _distinct(u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.
     return a[new], b[new]
 
 
+def _ties_ahead(rows: DataFrame) -> DataFrame:
+    """Ties (u, v) of the documents (doc_id, ahead) to the smallest one with the same hash."""
+    shown = rows.select("doc_id", F.explode("ahead").alias("_h"))
+    leads = shown.groupBy("_h").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("_last")).where("v < _last")
+    return shown.join(leads, "_h").select(F.col("doc_id").alias("u"), "v")
+
+
 def _ties(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
-    """Ties (u, v) of documents that share a bucket's hash; `total` is the number of shingles.
+    """Ties (u, v) of labels (doc_id) whose texts share a bucket's hash; `total` is the number of shingles.
 
     Tasks send hashes packed by their top bits; 40 further bits are compared, and an equal pair by
     chance only makes an island larger. A pair meets in many packed groups; a task passes it on once.
@@ -174,20 +196,16 @@ def _ties(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
         )
 
     def show(batches):
-        hashes, ids, size, seen = [], [], 0, set()
+        hashes, ids, size = [], [], 0
         for batch in batches:
             names = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for row, found in enumerate(shingle_sets(batch.column("text"), words)):
-                digest = _digest(found)
-                if not len(found) or digest in seen:
-                    continue
-                seen.add(digest)
                 hashes.append(bucket_hashes(found, percent))
                 ids.append(np.full(len(hashes[-1]), names[row], dtype=np.int64))
                 size += len(hashes[-1])
                 if size >= GATHER:
                     yield gathered(hashes, ids)
-                    hashes, ids, size, seen = [], [], 0, set()
+                    hashes, ids, size = [], [], 0
         if hashes:
             yield gathered(hashes, ids)
 
@@ -228,7 +246,7 @@ def _ties(docs: DataFrame, words: int, percent: int, total: int) -> DataFrame:
         if u:
             yield sent_on(*_distinct(u, v))
 
-    sent = docs.where("doc_id IS NOT NULL").mapInArrow(show, "part long, hashes binary, ids binary")
+    sent = docs.mapInArrow(show, "part long, hashes binary, ids binary")
     spread = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.abs(F.xxhash64("ids") % 4096))
     return (
         sent.withColumn("_to", spread).repartition("_to").sortWithinPartitions("part").drop("_to")
@@ -305,14 +323,23 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = checkpointed(_digests(docs, words))
+    digests = checkpointed(_digests(docs, words, percent))
     own = ["d1", "d2", "n"]
     full = digests.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy(*own).agg(F.min("doc_id").alias("class_id"))
-    total = full.agg(F.sum("n")).first()[0] or 0
-    islands = components(_ties(docs, words, percent, total))
-    tied = islands.join(full, F.col("node") == F.col("doc_id")).groupBy(*own).agg(F.min("component").alias("island"))
-    members = tied.join(classes, own).select("class_id", *own, "island")
+    firsts = classes.select("class_id").distinct()
+    early = components(_ties_ahead(full.join(firsts, F.col("doc_id") == F.col("class_id"), "left_semi")))
+    labelled = checkpointed(
+        classes.join(early, F.col("class_id") == F.col("node"), "left")
+        .select("class_id", *own, F.coalesce("component", "class_id").alias("label"))
+    )
+    total = labelled.agg(F.sum("n")).first()[0] or 0
+    labels = labelled.select("class_id", "label").distinct()
+    shown = docs.join(labels, F.col("doc_id") == F.col("class_id")).select(F.col("label").alias("doc_id"), "text")
+    islands = components(_ties(shown, words, percent, total))
+    members = labelled.join(islands, F.col("label") == F.col("node"), "left").select(
+        "class_id", *own, F.coalesce("component", "label").alias("island")
+    )
     several = members.groupBy("island").agg(F.count("*").alias("_c")).where("_c > 1").select("island")
     members = members.join(several, "island")
     placed = checkpointed(
