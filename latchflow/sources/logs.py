@@ -13,7 +13,7 @@ PHOTO_LINE = r"^\[PHOTO\] (.*) bbox=\((-?\d+),(-?\d+),(-?\d+),(-?\d+)\)$"
 FPS_LINE = r"^\[FPS\] avg=([0-9.]+)$"
 FPS_NONE_LINE = r"^\[FPS\] no frames yet$"
 START_LINE = r"^\[Start\] (model=.* cam=\d+x\d+@.* conf=[0-9.]+ imgsz=\d+)$"
-SINK_LINE = r"^\[Firebase\] ((?:init|log_event) failed: .*)$"
+SINK_LINE = r"^\[Firebase\] (Enabled|(?:init|log_event) failed: .*)$"
 
 
 def _part(line: Column, pattern: str, group: int, kind: str = "string") -> Column:

@@ -15,6 +15,7 @@ FIELDS = ("open_duration", "cooldown_duration", "confidence_threshold")
 DEFAULT_KEY = "_default"
 # Keys with a fallback rule of their own, in the order in which they are tried.
 FALLBACK_KEYS = ("bird", "squirrel", "critter", DEFAULT_KEY)
+STRICT = {"allowSingleQuotes": "false"}
 LITERAL_KEYS = 64
 BROADCAST_ROWS = 100_000
 
@@ -50,9 +51,10 @@ def parse_settings(
     """
     kept = [c for c in docs.columns if c != text]
     # The parser wants an object to fill a map; a scalar or an array yields NULL or no map.
-    is_dict = F.coalesce(F.col(text).rlike(r"^\s*\{"), F.lit(False))
+    # It also reads past the end of an object and takes single quotes, which are no JSON.
+    is_dict = F.coalesce(F.col(text).rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
     parsed = docs.select(
-        *kept, F.when(is_dict, F.from_json(text, "map<string,string>")).alias("_cfg")
+        *kept, F.when(is_dict, F.from_json(text, "map<string,string>", STRICT)).alias("_cfg")
     )
     fallback = F.array(
         F.struct(F.lit(DEFAULT_KEY).alias("key"), F.lit(None).cast("string").alias("value"))
@@ -92,7 +94,10 @@ def parse_settings(
         ),
         F.size(F.coalesce("_members", F.create_map().cast("map<string,string>"))).alias("n_fields"),
         broken.alias("bad_field"),
-        (F.col("key").isin(*FALLBACK_KEYS) & F.col("_truthy_scalar")).alias("bad_fallback"),
+        # Only an empty default may stand for the literal defaults; other fallbacks are used as they are.
+        F.when(F.col("key") == DEFAULT_KEY, F.col("_truthy_scalar"))
+        .otherwise(F.col("key").isin(*FALLBACK_KEYS) & ~F.col("is_object"))
+        .alias("bad_fallback"),
     )
 
 

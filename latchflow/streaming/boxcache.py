@@ -15,26 +15,37 @@ OUT = "trap_id long, frame_id long, t_us long, set_frame_id long, set_t_us long,
 
 
 class BoxCache(StatefulProcessor):
-    """Keeps one set per trap; the boxes travel as text and are opened outside."""
+    """Keeps a trap's newest set and the newest one of an earlier time.
+
+    A frame sees sets of strictly earlier times only, so at the time of the newest set it still
+    sees the one before. The boxes travel as text and are opened outside.
+    """
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "t_us long, frame_id long, boxes string")
+        kept = "t_us long, frame_id long, boxes string"
+        self.latest = handle.getValueState("latest", kept)
+        self.before = handle.getValueState("before", kept)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values(["t_us", "frame_id"], kind="stable")
-        latest = self.latest.get() if self.latest.exists() else None
+        latest, before = (s.get() if s.exists() else None for s in (self.latest, self.before))
         shown = []
         for t, frame, boxes in batch[["t_us", "frame_id", "boxes"]].itertuples(index=False, name=None):
-            if latest is not None and 0 <= t - latest[0] <= self.ttl_us:
-                shown.append((key[0], frame, t, latest[1], latest[0], latest[2]))
+            seen = latest if latest is not None and latest[0] < t else before
+            if seen is not None and 0 < t - seen[0] <= self.ttl_us:
+                shown.append((key[0], frame, t, seen[1], seen[0], seen[2]))
             # A late set must not replace a newer one.
-            if isinstance(boxes, str) and (latest is None or t >= latest[0]):
+            if isinstance(boxes, str) and (latest is None or (t, frame) > (latest[0], latest[1])):
+                if latest is not None and latest[0] < t:
+                    before = latest
                 latest = (t, frame, boxes)
         if latest is not None:
             self.latest.update(latest)
+        if before is not None:
+            self.before.update(before)
         names = [part.split()[0] for part in OUT.split(", ")]
         yield pd.DataFrame(shown, columns=names)
 

@@ -74,7 +74,7 @@ def test_last_of_repeated_keys_counts(spark):
     assert s.literal["fox"][0] == 2.0 and set(s.literal) == {"fox", "owl"}
 
 
-@pytest.mark.parametrize("text", ["", "[1]", "5", '{"a": ', None])
+@pytest.mark.parametrize("text", ["{'bird': {}}", '{"bird": {}} junk', "", "[1]", "5", '{"a": ', None])
 def test_unusable_text_gives_the_fallback(spark, text):
     s = settings_from_text(spark, text)
     assert s.literal == {"_default": (1.5, 8.0, 0.45)} and s.fallbacks == ("_default",)
@@ -88,6 +88,7 @@ def test_empty_objects(spark):
 
 @pytest.mark.parametrize("text", [
     '{"fox": {"open_duration": null}}', '{"fox": {"open_duration": "soon"}}', '{"critter": 5}', '{"_default": 5}',
+    '{"bird": null}', '{"squirrel": 0}',
 ])
 def test_broken_values_are_refused(spark, text):
     with pytest.raises(ValueError):

@@ -59,7 +59,7 @@ def test_console_log_round_trip(spark):
 
 
 def test_other_console_lines(spark):
-    text = ["[FPS] avg=9.50", "[FPS] no frames yet", "[BLOCK] fox hold", "[Firebase] init failed: no route", "[What] x"]
+    text = ["[FPS] avg=9.50", "[FPS] no frames yet", "[BLOCK] fox hold", "[Firebase] init failed: no route", "[What] x", "[Firebase] Enabled"]
     one = spark.range(1).select(
         render.start_line(F.lit("m.pt"), F.lit(640), F.lit(480), F.lit("MJPG"), F.lit(0.45), F.lit(320)).alias("value"),
         render.fps_line(F.lit(9.504)).alias("fps"), render.fps_line(F.lit(None).cast("double")).alias("none"),
@@ -71,7 +71,7 @@ def test_other_console_lines(spark):
     got = logs.parse_console_log(df).orderBy("i").collect()
     assert [(r.tag, r.label, r.reason, r.fps, r.message) for r in got] == [
         ("FPS", None, None, 9.5, None), ("FPS", None, None, None, "no frames yet"), ("BLOCK", "fox", "hold", None, None),
-        ("Firebase", None, None, None, "init failed: no route"), (None, None, None, None, None),
+        ("Firebase", None, None, None, "init failed: no route"), (None, None, None, None, None), ("Firebase", None, None, None, "Enabled"),
         ("Start", None, None, None, "model=m.pt cam=640x480@MJPG conf=0.45 imgsz=320"),
     ]
 

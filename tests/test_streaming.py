@@ -91,6 +91,17 @@ def test_box_stream_equals_batch(spark, tmp_path):
     assert one == two and one
 
 
+def test_box_stream_with_equal_times(spark, tmp_path):
+    """Four frames share each time; none sees a set of its own time."""
+    schema = "trap_id long, frame_id long, t_us long, boxes array<struct<det_idx:long,label:string>>"
+    rows = [(1, i, i // 4 * S, [{"det_idx": 0, "label": "fox"}] if i % 4 in (0, 2) else []) for i in range(16)]
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_parts(spark, rows, "trap_id, frame_id, t_us, boxes", folder, 3)
+    run(boxcache.cached_box_stream(stream(spark, folder, schema), 1.0), table, state)
+    got = sorted((r.frame_id, r.set_frame_id) for r in spark.read.parquet(table).collect())
+    assert got == [(i, i // 4 * 4 - 2) for i in range(4, 16)]
+
+
 def test_auto_close_stream(spark, tmp_path):
     schema = "trap_id long, frame_id long, det_idx long, t_us long, hold_until_us long"
     rows = [
