@@ -175,24 +175,30 @@ def numbered(df: DataFrame, *order: Column, name: str = "row_no") -> tuple[DataF
     ), total
 
 
-def running(df: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
+def running(df: DataFrame, key: str, order: list[Column], value: str, name: str, *more: tuple[str, str]) -> DataFrame:
     """Add, per key in the given order, the sum of `value` over all rows before this one.
 
     Keys of any size: rows are ordered over pieces, summed inside (piece, key), and each piece
-    starts from the sums of the key's earlier pieces, of which there are few.
+    starts from the sums of the key's earlier pieces, of which there are few. `more` are further
+    pairs (value, name), summed in the same order.
     """
+    sums = [(value, name), *more]
     rows = arranged(df, F.col(key), *order)
     inside = Window.partitionBy("_part", key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
         rows.groupBy("_part", key)
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .select(F.col("_part").alias("_p"), F.col(key).alias("_k"), "_base")
+        .agg(*(F.sum(v).alias(f"_sum{i}") for i, (v, _) in enumerate(sums)))
+        .select(
+            F.col("_part").alias("_p"), F.col(key).alias("_k"),
+            *(F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_base{i}") for i in range(len(sums))),
+        )
     )
-    rows = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    rows = rows.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, n in sums})
     joined = rows.join(pieces, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
-    return joined.withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_at", "_p", "_k", "_base")
+    return joined.withColumns({n: F.col(n) + F.col(f"_base{i}") for i, (_, n) in enumerate(sums)}).drop(
+        "_part", "_at", "_p", "_k", *(f"_base{i}" for i in range(len(sums)))
+    )
 
 
 def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:

@@ -6,7 +6,8 @@ one row per turn and perspective: joined in the order of `position` they are the
 a segment spans [start, stop) and its content [content_start, content_stop), in characters. `trained`
 is the loss mask: it is true for the content of the assistant's turns.
 
-Segments keep a conversation of any length spread over tasks; offsets are running sums over pieces.
+Segments keep a conversation of any length spread over tasks; positions and offsets are
+two running sums over pieces, each a long of its own.
 
 Nulls: a null role is the participant `unknown`; a null text is empty; null conv_ids are one
 conversation; a null turn comes first. Turns alike in number are ordered by role and text. Markers inside texts
@@ -41,16 +42,15 @@ def rotate(turns: DataFrame) -> DataFrame:
     )
     rows = seen.select(
         "conv_id", "perspective", "turn", "speaker", head.alias("head"), "content", own.alias("trained"),
-    ).withColumn("segment", F.concat("head", "content", F.lit("<|end|>\n"))).withColumn(
-        # a position counts as 2^40 characters, so one running sum gives both
-        "_size", F.length("segment").cast("long") + F.lit(1 << 40)
+    ).withColumn("segment", F.concat("head", "content", F.lit("<|end|>\n"))).withColumns(
+        {"_size": F.length("segment").cast("long"), "_one": F.lit(1).cast("long")}
     ).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "perspective"))
-    placed = running(rows, "_key", [F.col("turn"), F.col("speaker"), F.col("content")], "_size", "_sum")
-    start = F.col("_sum").bitwiseAND(F.lit((1 << 40) - 1))
+    placed = running(rows, "_key", [F.col("turn"), F.col("speaker"), F.col("content")], "_size", "start", ("_one", "position"))
+    start = F.col("start")
     begin = start + F.length("head")
     return placed.select(
-        "conv_id", "perspective", F.shiftright("_sum", 40).alias("position"), "turn", "speaker", "segment",
-        start.alias("start"), begin.alias("content_start"), (begin + F.length("content")).alias("content_stop"),
+        "conv_id", "perspective", "position", "turn", "speaker", "segment",
+        "start", begin.alias("content_start"), (begin + F.length("content")).alias("content_stop"),
         (start + F.length("segment")).alias("stop"), "trained",
     )
 

@@ -321,6 +321,17 @@ def test_perspectives(spark):
     assert perspectives.rotate(table.limit(0)).count() == 0
 
 
+def test_perspectives_of_more_segments_than_one_long_held(spark):
+    n = (1 << 23) + 3
+    turns = spark.range(n).select(
+        F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("a").alias("role"), F.lit("").alias("text"))
+    placed = perspectives.rotate(turns)
+    long = len("<|assistant|>\n<|end|>\n")
+    right = (F.col("position") == F.col("turn")) & (F.col("start") == F.col("turn") * long) & (F.col("stop") == F.col("start") + long)
+    found = placed.agg(F.count("*").alias("n"), F.count_if(right).alias("right"), F.max("position").alias("last")).first()
+    assert tuple(found) == (n, n, n - 1)
+
+
 def test_pipeline_stages_in_turn(spark, tmp_path):
     item = " ".join(f"item{i}" for i in range(20))
     base = prose(100)
