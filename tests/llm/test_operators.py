@@ -353,3 +353,24 @@ def test_pipeline_stages_in_turn(spark, tmp_path):
     times = {r["doc_id"]: r["times"] for r in mixing.mix(unseen).collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({d: n for d, n in times.items() if n})
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == mixed.count()
+
+
+def test_every_declared_language_is_a_class(spark, monkeypatch):
+    letters = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    alphabet = [RNG.sample("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(36)]
+    text = lambda l, n: " ".join("".join(RNG.choice(alphabet[l]) for _ in range(5)) for _ in range(n))
+    known = spark.createDataFrame(
+        [(i, text(i % 34, 60), letters[i % 34]) for i in range(136) if i % 34 < 33 or i < 102] + [(None, text(34, 60), letters[34])] * 3,
+        "doc_id long, text string, lang string").repartition(2)
+    # language 33 is the rarest of the documents with an id, 34 stands at documents without one, 35 at pages only
+    raw = [(i, f"http://h{i}.example.org/a", f'<html lang="{letters[i % 36]}"><p>{text(i % 36, 30)}</p></html>') for i in range(108)]
+    pages = language.page_rows(spark.createDataFrame(raw, "page_id long, url string, html string").repartition(2))
+    found = []
+    for block in (32, 64):
+        monkeypatch.setattr(language, "BLOCK", block)
+        names, table = language.train(known, pages=pages)
+        assert names == letters[:36]
+        found.append({r["page_id"]: r for r in language.identify(pages, names, table).collect()})
+    for got in found:
+        assert len(got) == 108 and all(got[i]["lang"] == got[i]["text_lang"] == letters[i % 36] for i in range(108))
+    assert all(found[0][i]["probability"] == pytest.approx(found[1][i]["probability"], rel=1e-9) for i in range(108))
