@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latchflow.llm import decontaminate, jaccard_join, mixing, token_files, toxicity
+from latchflow.llm.common import numbered
 from latchflow.plans.session import fresh_dir
 
 
@@ -26,14 +27,14 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
-    The document with the group's smallest doc_id stays; of rows that share it, one. Rows without
-    doc_id belong to no group and stay.
+    Each distinct (doc_id, text) is a document of its own, whether its doc_id is null, shared or neither. Of a
+    group, the one with the smallest doc_id stays (null last), and of these the one whose text sorts first.
     """
-    groups = jaccard_join.join(docs, words=5, percent=80)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    lone = docs.where("doc_id IS NULL")
-    kept = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_id")).drop("_id")
-    return kept.dropDuplicates(["doc_id"]).unionByName(lone)
+    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.col("text").asc_nulls_last()]
+    keyed, _ = numbered(docs.dropDuplicates(["doc_id", "text"]), *order, name="_key")
+    groups = jaccard_join.join(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
 
 
 def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

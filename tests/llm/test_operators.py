@@ -374,3 +374,15 @@ def test_every_declared_language_is_a_class(spark, monkeypatch):
     for got in found:
         assert len(got) == 108 and all(got[i]["lang"] == got[i]["text_lang"] == letters[i % 36] for i in range(108))
     assert all(found[0][i]["probability"] == pytest.approx(found[1][i]["probability"], rel=1e-9) for i in range(108))
+
+
+def test_near_copies_whatever_their_ids(spark):
+    base, other, third, fourth = (prose(100) for _ in range(4))
+    near = " ".join(["changed", *base.split(" ")[1:]])
+    rows = [(None, base, "a"), (None, base, "b"), (None, near, "a"), (None, other, "a"), (None, other, "a"), (7, third, "a"), (7, fourth, "a"),
+            (7, fourth, "b"), (9, near, "a"), (5, base, "a"), (None, third, "a"), (8, None, "a"), (None, None, "a"), (3, "", "a"), (4, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = corpus_pipeline.distinct_documents(spark, docs, "")
+    want = [(5, base), (None, other), (7, third), (7, fourth), (8, None), (None, None), (3, ""), (4, "")]
+    assert found.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter(want)
+    assert corpus_pipeline.distinct_documents(spark, docs.limit(0), "").count() == 0
