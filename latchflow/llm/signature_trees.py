@@ -95,10 +95,6 @@ def link(sets: list[np.ndarray], labels: np.ndarray, percent: int, split: int |
     side are those of other calls.
     """
     linked = Linked(labels.copy())
-    if len(sets) == 2:
-        if linked.of[0] != linked.of[1] and similar(sets[0], sets[1], percent):
-            linked.join(0, 1)
-        return linked.of
     bits, share = width(sets), percent / 100
     if split is None:
         left = right = Tree(sets, bits, share)

@@ -386,3 +386,21 @@ def test_near_copies_whatever_their_ids(spark):
     want = [(5, base), (None, other), (7, third), (7, fourth), (8, None), (None, None), (3, ""), (4, "")]
     assert found.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter(want)
     assert corpus_pipeline.distinct_documents(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("split", [None, 1])
+def test_two_sets_pass_through_the_trees(monkeypatch, split):
+    seen, possible = [], signature_trees._possible
+
+    def counted(*args):
+        seen.append(args[2])
+        return possible(*args)
+
+    monkeypatch.setattr(signature_trees, "_possible", counted)
+    rng = np.random.default_rng(3)
+    for size, changed, linked in ((100, 5, True), (100, 30, False), (1, 0, True), (1, 1, False), (5000, 100, True)):
+        one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        other = np.unique(np.concatenate([one[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)]))
+        seen.clear()
+        found = signature_trees.link([one, other], np.arange(2), 85, split)
+        assert (found[0] == found[1]) == signature_trees.similar(one, other, 85) == linked and seen
