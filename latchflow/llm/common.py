@@ -247,3 +247,11 @@ def sampled(docs: DataFrame, labels: DataFrame, most: int, *by: str) -> DataFram
     for part in parts[1:]:
         ids = ids.unionByName(part)
     return docs.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id")
+
+
+def crc_entry(name: str) -> str:
+    """SQL of one entry of the checksum's table: eight halvings with the reversed polynomial."""
+    entry = f"{name}::BIGINT"
+    for _ in range(8):
+        entry = f"list_transform([{entry}], lambda c: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)[1]"
+    return entry

@@ -1,15 +1,18 @@
 """Queries of this package, and their SQL where SQL can express them."""
 
 from latchflow.llm import (
+    bisector_clusters,
     decontaminate,
     jaccard_join,
     language,
     mixing,
     perspectives,
+    prefix_trie,
     rule_ledger,
     sharding,
     token_files,
     toxicity,
+    url_filter,
     weak_labels,
 )
 
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_perspectives": perspectives.query,
     "op9_signature_tree_join": jaccard_join.query,
     "op10_hypergeometric_mix": mixing.query,
+    "op11_radix_trie": prefix_trie.query,
+    "op12_bisector_clusters": bisector_clusters.query,
+    "op13_digest_array": url_filter.query,
 }
 
 ORACLES = {
@@ -32,6 +38,9 @@ ORACLES = {
     "op6_feistel_shards": sharding.oracle,
     "op8_perspectives": perspectives.oracle,
     "op9_signature_tree_join": jaccard_join.oracle,
+    "op11_radix_trie": prefix_trie.oracle,
+    "op12_bisector_clusters": bisector_clusters.oracle,
+    "op13_digest_array": url_filter.oracle,
 }
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchflow.llm.common import MULTIPLIER, feistel, numbered, round_keys
+from latchflow.llm.common import MULTIPLIER, crc_entry, feistel, numbered, round_keys
 
 SHARDS = 16
 KEY = 2024
@@ -71,7 +71,7 @@ def oracle() -> str:
     return f"""
     WITH RECURSIVE base AS (
       SELECT doc_id, coalesce(text, '') AS t FROM documents),
-    steps AS (SELECT list({_bits("i")} ORDER BY i) AS tab FROM range(256) s(i)),
+    steps AS (SELECT list({crc_entry("i")} ORDER BY i) AS tab FROM range(256) s(i)),
     sized AS (
       SELECT doc_id, strlen(t)::BIGINT + 1 AS size,
         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT),
@@ -91,11 +91,3 @@ def oracle() -> str:
       NULL::INT AS grown_shard
     FROM rows_ JOIN placed USING (row_no)
     """
-
-
-def _bits(name: str) -> str:
-    """One entry of the checksum's table: eight halvings with the reversed polynomial."""
-    entry = f"{name}::BIGINT"
-    for _ in range(8):
-        entry = f"list_transform([{entry}], lambda c: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)[1]"
-    return entry
