@@ -18,8 +18,6 @@ out, a null path is empty; of two verdicts for one rule block wins. Repeated row
 itself. An empty table gives an empty result, empty lists allow everything. Other columns are ignored.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -57,7 +55,8 @@ def digest(key: bytes) -> int:
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Both empty for null and for urls without ://."""
-    rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
+    at = F.locate("://", url)
+    rest = F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER)
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
@@ -87,8 +86,8 @@ class DigestArray:
 
     def __init__(self, buffer, hashed=digest):
         whole = np.asarray(buffer)
-        n, m = whole[:16].view(np.int64).tolist()
-        cuts = np.cumsum([16, 8 * n, 16 * n, 8 * (n + 1), 8 * m]).tolist()
+        n, m, self.longest_host, self.longest_word = whole[:32].view(np.int64).tolist()
+        cuts = np.cumsum([32, 8 * n, 16 * n, 8 * (n + 1), 8 * m]).tolist()
         self.keys = whole[cuts[0] : cuts[1]].view(np.uint64)
         self.numbers = whole[cuts[1] : cuts[2]].view(np.int64).reshape(n, 2)
         self.offsets = whole[cuts[2] : cuts[3]].view(np.int64)
@@ -101,16 +100,17 @@ class DigestArray:
         """Layout of (host, path, blocks) and words."""
         entries, sizes, lengths = [], {}, []
         for host, path, blocks in rules:
-            entries.append((RULE + f"{host}{path}".encode(), int(blocks), 0))
+            entries.append((_rule(host, path), int(blocks), 0))
             sizes.setdefault(host, set()).add(len(path))
         for host, found in sizes.items():
             entries.append((HOST + host.encode(), len(lengths), len(lengths) + len(found)))
             lengths += sorted(found)
         entries += [(WORD + w.encode(), 1, 0) for w in set(words)]
+        longest = max(map(len, sizes), default=0), max(map(len, words), default=0)
         placed = sorted((hashed(key), key, a, b) for key, a, b in entries)
         offsets = np.cumsum([0, *(len(key) for _, key, _, _ in placed)])
         return b"".join((
-            np.array([len(placed), len(lengths)], dtype=np.int64).tobytes(),
+            np.array([len(placed), len(lengths), *longest], dtype=np.int64).tobytes(),
             np.array([d for d, *_ in placed], dtype=np.uint64).tobytes(),
             np.array([(a, b) for _, _, a, b in placed], dtype=np.int64).tobytes(),
             offsets.astype(np.int64).tobytes(),
@@ -143,10 +143,12 @@ class DigestArray:
         names = list(dict.fromkeys(hosts))
         probes, owner, texts = [], [], []
         for i, host in enumerate(names):
-            for domain in domains(host):
+            for domain in domains(host, self.longest_host):
                 probes.append(HOST + domain.encode())
                 owner.append((i, domain))
-        words = [(i, w) for i, host in enumerate(names) for w in set(host.replace("-", ".").split("."))]
+        words = [
+            (i, w) for i, host in enumerate(names) for w in set(host.replace("-", ".").split(".")) if len(w) <= self.longest_word
+        ]
         found = self.find(probes + [WORD + w.encode() for _, w in words]).tolist()
         ruled = [[] for _ in names]
         for (i, domain), place in zip(owner, found, strict=False):
@@ -162,7 +164,7 @@ class DigestArray:
                     if size <= len(path):
                         own.append((len(domain) + size, len(domain), len(probes)))
                         texts.append(domain + path[:size])
-                        probes.append(RULE + texts[-1].encode())
+                        probes.append(_rule(domain, path[:size]))
         found = self.find(probes).tolist()
         verdicts = {}
         for (host, path), own in urls.items():
@@ -176,10 +178,17 @@ class DigestArray:
         return [rule for rule, _ in got], [verdict for _, verdict in got]
 
 
-def domains(host: str) -> list[str]:
-    """The host and its parent domains; none for an empty host."""
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))] if host else []
+def _rule(host: str, path: str) -> bytes:
+    return RULE + f"{host}\0{path}".encode()
+
+
+def domains(host: str, longest: int) -> list[str]:
+    """The host and its parent domains of at most `longest` characters; none for an empty host."""
+    end = host[max(0, len(host) - longest - 1) :]
+    starts = [i + 1 for i, c in enumerate(end) if c == "."]
+    if host and len(host) <= longest:
+        starts = [0, *starts]
+    return [end[i:] for i in starts]
 
 
 def _stored(spark: SparkSession, data: bytes) -> str:
@@ -229,9 +238,13 @@ def _joined(urls: DataFrame, rules: DataFrame, words: DataFrame) -> DataFrame:
     """
     seen = urls.select("host", "path").distinct()
     hosts = seen.select("host").distinct()
-    parts = F.split("host", r"\.")
-    every = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    longest = rules.agg(F.max(F.length("host"))).first()[0] or 0
+    # a long host's end, of which the piece before the first dot is no domain
+    cut = F.length("host") > longest
+    parts = F.split(F.when(cut, F.right("host", F.lit(longest + 1))).otherwise(F.col("host")), r"\.")
+    every = F.filter(
+        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(~cut | (i > 1), F.array_join(F.slice(parts, i, F.size(parts)), "."))),
+        lambda d: d.isNotNull(),
     )
     above = hosts.where("host <> ''").select("host", F.explode(every).alias("domain"))
     sizes = rules.groupBy(F.col("host").alias("domain")).agg(F.collect_set(F.length("path")).alias("sizes"))
