@@ -2,13 +2,15 @@
 
 Text arithmetic works on the UTF-8 bytes of an Arrow column with numpy: words, lines and n-grams of
 all rows of a slice are found and hashed at once. Slices hold about `SLICE_BYTES`, or one text.
-Hashes have 64 bits; two different words or windows of one text collide with odds of n^2 / 2^65.
+Hashes have 64 bits. Ranges of less than eight bytes never collide: their bytes and length are mixed one to one.
+Longer ones take xxh3 of their bytes, no sum of powers, whose collisions could be written down.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,21 +43,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = U64(0xD6E8FEB86659FD93)
-_BACK = U64(pow(int(_STEP), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the hash step and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for i, base in enumerate((_STEP, _BACK)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+#: Ranges below this many bytes are hashed by their bytes and length in one number.
+SHORT = 8
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(SHORT)], dtype=np.uint64)
 
 
 class Slice:
@@ -64,7 +55,7 @@ class Slice:
     def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
         self.first, self.data, self.offsets = first, data, offsets
         self.rows = len(offsets) - 1
-        self._sums: np.ndarray | None = None
+        self._bytes: bytes | None = None
 
     def count(self, flags: np.ndarray) -> np.ndarray:
         """Number of set flags per row; one flag per byte."""
@@ -85,13 +76,23 @@ class Slice:
         ends = np.flatnonzero(inside & ~after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def tobytes(self) -> bytes:
+        """The slice's bytes, and some zeros behind them."""
+        if self._bytes is None:
+            self._bytes = self.data.tobytes() + bytes(SHORT)
+        return self._bytes
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of each byte range; equal bytes give equal hashes."""
-        up, back = powers(len(self.data) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.data] * up[:-1], dtype=np.uint64, out=self._sums[1:])
-        return mix((self._sums[ends] - self._sums[starts]) * back[starts])
+        data, size = self.tobytes(), ends - starts
+        # the eight bytes from every place on, read where a range starts
+        numbers = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=data, strides=(1,))[starts]
+        out = mix((numbers & _KEPT[np.minimum(size, SHORT - 1)]) | (size.astype(np.uint64) << U64(56)))
+        long = np.flatnonzero(size >= SHORT)
+        if len(long):
+            pairs = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+            out[long] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in pairs), dtype=np.uint64, count=len(long))
+        return out
 
 
 def owners(borders: np.ndarray) -> np.ndarray:

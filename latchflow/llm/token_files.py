@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from latchflow.llm.common import slices
+from latchflow.llm.common import SHORT, slices
 from latchflow.llm.mixing_coder import read_frame, write_frame
 from latchflow.plans.session import fresh_dir
 
@@ -50,14 +50,30 @@ def _worker(path: str):
     return held
 
 
+def _distinct_words(part, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different words of a slice, and the place of each word among them; longer words are told apart by their bytes."""
+    data, size = part.tobytes(), ends - starts
+    short = np.flatnonzero(size < SHORT)
+    _, first, place = np.unique(part.hashes(starts[short], ends[short]), return_index=True, return_inverse=True)
+    first = short[first]
+    names = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    which = np.empty(len(starts), dtype=np.int64)
+    which[short] = place
+    long = np.flatnonzero(size >= SHORT)
+    known: dict[bytes, int] = {}
+    count = len(names)
+    which[long] = [
+        known.setdefault(data[a:b], count + len(known)) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+    ]
+    return names + list(known), which
+
+
 def encoded(text: pa.Array, path: str):
     """(ids, lengths) of runs of rows, in order; every row's ids end with END."""
     held = _worker(path)
     for part in slices(text):
         starts, ends, borders = part.words()
-        _, first, which = np.unique(part.hashes(starts, ends), return_index=True, return_inverse=True)
-        data = part.data.tobytes()
-        names = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        names, which = _distinct_words(part, starts, ends)
         if len(held.words) > STORE:
             held.older, held.words = held.words, {}
         known = held.words

@@ -404,3 +404,28 @@ def test_two_sets_pass_through_the_trees(monkeypatch, split):
         seen.clear()
         found = signature_trees.link([one, other], np.arange(2), 85, split)
         assert (found[0] == found[1]) == signature_trees.similar(one, other, 85) == linked and seen
+
+
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [7, 8, 1024, 1 << 16])
+def test_texts_that_sums_of_powers_confuse(spark, n):
+    one, other = _thue_morse(n)
+    docs = spark.createDataFrame([(0, f"{one}\n{other}"), (1, one), (2, other), (3, f"{one} {other} {one} {other}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in rule_ledger.ledger(docs).collect()}[0] == 0
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs.where("doc_id IN (1, 2)")).collect()} == {1: 1, 2: 2}
+    if n < 1 << 16:
+        tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(token_files.vocabulary())
+        ids = np.concatenate([i for i, _ in token_files.encoded(pa.array([f"{one} {other}"]), token_files.vocabulary())]).tolist()
+        assert ids == [*tokenizer.encode(f"{one} {other}", add_special_tokens=False).ids, 1]
+
+
+def test_hashes_of_byte_ranges():
+    texts = ["a", "aa", "a\0", "\0", "abcdefg", "abcdefgh", "abcdefghi", "", "ab" * 500, "a"]
+    part = next(iter(common.slices(pa.array(texts))))
+    hashes = part.hashes(part.offsets[:-1], part.offsets[1:])
+    assert len(set(hashes.tolist())) == len(set(texts)) and hashes[0] == hashes[-1]
+    inner = part.hashes(part.offsets[4:7], part.offsets[4:7] + 7)
+    assert len(set(inner.tolist())) == 1
