@@ -87,7 +87,7 @@ def _hits(docs: DataFrame, wanted: DataFrame, key: str, short: set[int]) -> Data
     used = [(i, m) for i, (m, low, high) in enumerate(masks()) if low != high or low in short]
     words, at = F.col("w"), F.col("p")
     shown = (
-        docs.select(F.col(key).cast("long").alias(key), tokens(F.col("text")).alias("w"))
+        docs.select(key, tokens(F.col("text")).alias("w"))
         .select(key, "w", F.posexplode_outer("w").alias("p", "_"))
         .select(key, "w", "p", F.explode_outer(F.array(*(_seed(words, at, i, m) for i, m in used))).alias("h"))
     )
@@ -112,7 +112,7 @@ def _hits(docs: DataFrame, wanted: DataFrame, key: str, short: set[int]) -> Data
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return leaks(docs, items)
+    return leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items)
 
 
 def oracle() -> str:

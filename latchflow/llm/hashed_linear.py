@@ -96,7 +96,7 @@ def telling(index: list[np.ndarray], grade: np.ndarray, least: int, sigma: float
 
 def fit_ordinal(
     index: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, top: int, weight: np.ndarray,
-    least: int = 4, sigma: float = 4.0, rounds: int = 120, penalty: float = 2e-3,
+    least: int = 4, sigma: float = 4.0, rounds: int = 300, penalty: float = 2e-3,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of P(grade >= k) = 1 / (1 + exp(threshold_k - w x)).
 

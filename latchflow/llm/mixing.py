@@ -134,19 +134,23 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def draws(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: docs' columns with `_shard` and `_rank` (hash order inside a shard), a row per draw."""
+    """The mix itself, a row per draw: `_row` (docs' columns), shard and rank, shuffled by rank inside each shard."""
     plan = mix(docs, shards).where("times > 0").select(
         F.col("doc_id").alias("_d"), F.col("tx").alias("_t"), F.col("key").alias("_k"), F.posexplode("shards").alias("_time", "_shard")
     )
     # rows alike in (doc_id, source, text) are numbered on both sides, so each row meets its own draws
     same = plan.groupBy("_d", "_t", "_k", "_time", "_shard").count().withColumnRenamed("count", "_copies")
-    tagged = docs.withColumns({"_tx": F.xxhash64("text"), "_key": _source(F.col("source"))})
-    joined = tagged.dropDuplicates(["doc_id", "_tx", "_key"]).join(
-        same, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tx") == F.col("_t")) & (F.col("_key") == F.col("_k"))
-    )
+    # of such rows the smallest one stands for all; the row travels packed, so its columns meet no others
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tx"), _source(F.col("source")).alias("_key"),
+        F.struct(*docs.columns).alias("_row"),
+    ).groupBy("_id", "_tx", "_key").agg(F.min("_row").alias("_row"))
+    joined = rows.join(same, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_tx") == F.col("_t")) & (F.col("_key") == F.col("_k")))
     repeated = joined.withColumn("_copy", F.explode(F.expr("sequence(1, int(_copies))")))
     rank = F.xxhash64(F.lit(SEED), "_shard", "_d", "_t", "_time", "_copy")
-    return repeated.select(*docs.columns, "_shard", rank.alias("_rank"))
+    placed = repeated.select("_row", F.col("_shard").alias("shard"), rank.alias("rank"))
+    # the local shuffle: every shard lies in the order of its ranks, over as many tasks as it needs
+    return placed.repartitionByRange("shard", "rank").sortWithinPartitions("shard", "rank")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

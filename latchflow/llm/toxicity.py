@@ -23,7 +23,7 @@ from latchflow.llm.hashed_linear import BITS, fit_ordinal, gathered, name_parts,
 SAMPLE = 2048
 GRADES = 3
 #: Probability of grade 1 or more above which a document is toxic.
-SURE = 0.7
+SURE = 0.5
 #: Clean documents are far more frequent outside the sample, which holds as many of both.
 CLEAN_WEIGHT = 8.0
 

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchflow.llm.common import sampled, slices
+from latchflow.llm.common import checkpointed, sampled, slices
 from latchflow.llm.hashed_linear import fit_ordinal, gathered, scores, shape_parts
 from latchflow.llm.rule_ledger import measured
 
 SAMPLE = 4096
 #: Posterior from which on a document trains as good, and score from which on it is kept: a drop must be sure.
-GOOD, KEEP = 0.5, 0.1
+GOOD, KEEP = 0.5, 0.5
 ROUNDS = 100
 #: Labellers accuse at most this share of good documents: without it, a frequent fault looks like a habit of good ones.
 FALSE_ALARM = 0.01
@@ -107,7 +107,7 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, np.ndarray, np.ndarray]:
     """Label model, and weights and threshold of the scorer."""
-    cast = votes(docs)
+    cast = checkpointed(votes(docs))
     counts = cast.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
     model = expectation_maximisation(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     spark = docs.sparkSession

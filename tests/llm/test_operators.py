@@ -218,6 +218,8 @@ def test_mix(docs, rows, empty):
         assert all(r["times"] <= 2 and len(r["shards"] or []) == r["times"] for r in own)
     assert Counter(map(repr, found)) == Counter(map(repr, mixing.mix(docs.repartition(5)).collect()))
     drawn = mixing.draws(docs)
+    order = [(r["shard"], r["rank"]) for r in drawn.collect()]
+    assert order == sorted(order) and len({s for s, _ in order}) > 1
     assert drawn.count() == sum(r["times"] for r in found) and mixing.mix(empty).count() == 0
     split = mixing._split(np.array([5, 0, 9]), np.array([4, 3, 4, 3]), np.random.default_rng(1))
     assert split.sum(axis=0).tolist() == [5, 0, 9] and split.sum(axis=1).tolist() == [4, 3, 4, 3]
@@ -333,6 +335,7 @@ def test_perspectives_of_more_segments_than_one_long_held(spark):
 
 
 def test_pipeline_stages_in_turn(spark, tmp_path):
+    RNG.seed(17)
     item = " ".join(f"item{i}" for i in range(20))
     base = prose(100)
     texts = [base, base, prose(30) + " " + item, None, *(prose(50) for _ in range(40))]
@@ -429,3 +432,31 @@ def test_hashes_of_byte_ranges():
     assert len(set(hashes.tolist())) == len(set(texts)) and hashes[0] == hashes[-1]
     inner = part.hashes(part.offsets[4:7], part.offsets[4:7] + 7)
     assert len(set(inner.tolist())) == 1
+
+
+CLASHING = (
+    "doc_id long, text string, lang string, source string, toxic int, severity string, expected_severity double, _key string, _tx long, "
+    "_k int, _d int, _t int, _time int, _shard int, shard int, rank int, _copies int, _copy int, _at int, _part int, _base int, _row int, _id int, item_id int"
+)
+
+
+def test_pipeline_stages_keep_rows_whose_columns_or_ids_clash(spark, tmp_path):
+    item, clean, near = " ".join(f"item{i}" for i in range(20)), prose(60), prose(80)
+    texts = [(7, f"{clean} {item}"), (7, clean), (None, f"x {item}"), (None, near), (None, near), (8, None), (9, ""), (9, prose(50))]
+    rows = [(i, t, "en", "s", *[k % 3 for _ in range(2)], 0.5, "q", *[k] * 16) for k, (i, t) in enumerate(texts)]
+    rows = [(*r[:4], int(r[4]), str(r[5]), *r[6:]) for r in rows]
+    docs = spark.createDataFrame(rows, CLASHING).repartition(2)
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item, "x")], "item_id long, text string, _key string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, lost in (("clean_documents", []), ("distinct_documents", [4]), ("unseen_documents", [0, 2])):
+        found = stages[name](spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        assert Counter(map(tuple, found.collect())) == Counter(r for k, r in enumerate(rows) if k not in lost), name
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+    mixed = stages["mixed_documents"](spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    # of rows alike in id, text and source the smallest stands for all
+    assert {r["rank"] for r in mixed.collect()} <= {0, 1, 2, 3, 6, 7}
+    assert stages["mixed_documents"](spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert stages["encoded_documents"](spark, docs, str(tmp_path)).count() == len(rows)
