@@ -12,41 +12,53 @@ from latchflow.llm.common import numbered
 from latchflow.plans.session import fresh_dir
 
 
-def _with_row_key(docs: DataFrame) -> DataFrame:
-    """Add _key: the doc_id, or a negative number from the text where there is none."""
-    lone = -F.abs(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 1)) - 1
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), lone))
+def _packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that a stage works on, and the whole row as `_row`: other columns meet none of an operator's."""
+    return docs.select(*own, F.struct(*docs.columns).alias("_row"))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labels, does not reject."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(docs, model, *docs.columns).where(~F.col("toxic")).select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # other columns go by numbers meanwhile, so that none meets a result's name
+    names = {c: c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)}
+    graded = toxicity.grade(docs.select(*(F.col(c).alias(n) for c, n in names.items())), model, *names.values())
+    return graded.where(~F.col("toxic")).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
     Each distinct (doc_id, text) is a document of its own, whether its doc_id is null, shared or neither. Of a
-    group, the one with the smallest doc_id stays (null last), and of these the one whose text sorts first.
+    group, the one with the smallest doc_id stays (null last), and of these the one whose text sorts first; of rows
+    alike in both, the smallest. Where every row has a doc_id of its own, these are the keys, and texts are not moved.
     """
-    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    keyed, _ = numbered(docs.dropDuplicates(["doc_id", "text"]), *order, name="_key")
-    groups = jaccard_join.join(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
+    named = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    shared = named.groupBy("_id").count().where("_id IS NULL OR count > 1")
+    if shared.isEmpty():
+        groups = jaccard_join.join(docs.select("doc_id", "text"), words=5, percent=80)
+        first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+        keyed = _packed(docs, F.col("doc_id").cast("long").alias("_key"))
+    else:
+        rows = docs.groupBy(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).agg(
+            F.min(F.struct(*docs.columns)).alias("_row"))
+        keyed, _ = numbered(rows, F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_last(), name="_key")
+        groups = jaccard_join.join(keyed.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")), words=5, percent=80)
+        first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select("_row.*")
 
 
 def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    keyed = _with_row_key(docs)
+    """Documents without a passage of the benchmark; each distinct (doc_id, text) is judged by itself."""
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256))
+    keyed = _packed(docs, "text", key.alias("_key"))
     pairs = decontaminate.leaks(keyed.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key")
-    return keyed.join(pairs.select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    return keyed.join(pairs.select("_key").distinct(), "_key", "left_anti").select("_row.*")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix draws them, 0 to 2 times."""
-    return mixing.draws(docs).select(*docs.columns)
+    """The documents as often as the mix draws them, 0 to 2 times, shuffled inside each shard."""
+    return mixing.draws(docs).select("_row.*")
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
