@@ -15,7 +15,7 @@ POLICY_ROWS = ", ".join(
 )
 
 
-def det(forced: bool = False) -> str:
+def det(forced: bool = False, lost: str = "FALSE") -> str:
     force = f"{K} = 7" if forced else "FALSE"
     return f"""
 det AS (
@@ -35,10 +35,10 @@ pdet AS (
   FROM det JOIN pol USING (label)),
 cand AS (
   SELECT *, row_number() OVER (PARTITION BY trap_id ORDER BY t_us, frame_id, det_idx) AS rn
-  FROM pdet WHERE eligible OR force)"""
+  FROM pdet WHERE (eligible OR force) AND NOT ({lost}))"""
 
 
-def gate(forced: bool = False) -> str:
+def gate(forced: bool = False, lost: str = "FALSE") -> str:
     ready = " ".join(f"WHEN '{n}' THEN g.cd_{n}" for n in LABELS)
     start = ", ".join(
         f"CASE WHEN label = '{n}' THEN t_us + cd_us END AS cd_{n}" for n in LABELS
@@ -48,7 +48,7 @@ def gate(forced: bool = False) -> str:
         f"CASE WHEN reason = 'ok' AND label = '{n}' THEN t_us + cd_us ELSE cd_{n} END" for n in LABELS
     )
     return f"""
-WITH RECURSIVE {det(forced)},
+WITH RECURSIVE {det(forced, lost)},
 g AS (
   SELECT trap_id, rn, 'first_trigger' AS reason, CAST(0 AS BIGINT) AS species_left_us,
          CAST(0 AS BIGINT) AS busy_left_us, t_us + open_us + {INTER_US} AS busy, {start}
@@ -78,6 +78,11 @@ VERDICT = f"""trap_id, frame_id, det_idx, t_us, ok, reason, species_left_us, bus
   CASE WHEN ok THEN t_us + open_us + {INTER_US} END AS busy_until_us,
   CASE WHEN ok THEN t_us + cd_us END AS cooldown_until_us"""
 
+# Stragglers come after all others; those a day behind the newest of these are late.
+LATE = """(k = 7 AND t_us // 1000 <
+  (SELECT max(t_us) // 1000 - 86400000 FROM pdet p WHERE (p.eligible OR p.force) AND p.k <> 7))"""
+K_KEPT = "k % 10 <> 3"
+
 SECONDS = "CAST({0} / 1000000 AS VARCHAR)"
 
 LINES = """
@@ -478,11 +483,15 @@ def build() -> dict[str, str]:
             SELECT * FROM species JOIN busy USING (trap_id) JOIN trap USING (trap_id)""",
         "box_ttl_stream": f"""WITH {FRAMES}, {BOXES}, {CACHED}
             SELECT trap_id, frame_id, set_frame_id, set_t_us, det_idx, label, x1, y1 FROM cached""",
-        "auto_close_stream": f"""{gate()},
-            led AS (SELECT *, lead(t_us) OVER (PARTITION BY trap_id ORDER BY t_us) AS next_us,
-                           max(t_us) OVER () AS mark FROM fired)
-            SELECT trap_id, t_us AS trigger_us, hold_until_us FROM led
-            WHERE next_us IS NOT NULL OR hold_until_us <= mark // 1000 * 1000""",
+        "gate_late": f"""{gate(lost=LATE)} SELECT {VERDICT}, FALSE AS late FROM judged UNION ALL
+            SELECT trap_id, frame_id, det_idx, t_us, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE FROM pdet
+            WHERE (eligible OR force) AND {LATE}""",
+        "auto_close_stream": f"""{gate()} SELECT trap_id, t_us AS trigger_us, hold_until_us FROM fired""",
+        "counter_stream": f"{gate()} SELECT session_key, label AS species, count(*) AS n FROM fired GROUP BY ALL",
+        "photo_stream": f"""{gate()} SELECT {ident}, session_key, t_us, label AS species, {CROP}
+            FROM {crops("fired")}""",
+        "sink_run_rewritten": f"""{gate()} SELECT run_id, {ident}, session_key, t_us, label AS species
+            FROM fired, (VALUES ('first'), ('second=b')) runs(run_id) WHERE {K_KEPT}""",
         "stream_sinks": f"{gate()} SELECT session_key, label AS species, count(*) AS n FROM fired GROUP BY ALL",
     }
     return {name: " ".join(text.split("\n")) for name, text in sql.items()}

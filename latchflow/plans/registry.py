@@ -83,6 +83,16 @@ def sink_trigger_events(spark, sf_dir):
     )
 
 
+@query
+def sink_run_rewritten(spark, sf_dir):
+    """Two runs, of which one is written twice; images of some triggers could not be encoded."""
+    fired, _ = _fired(spark, sf_dir, keep=(*PHOTO_COLUMNS, "k"))
+    path, encoded = fresh_dir(spark, "runs"), F.col("k") % 10 != 3
+    for run_id in ("first", "second=b", "first"):
+        sinks.write_run(fired, path, run_id, encoded)
+    return sinks.read_run_table(spark, path, "events").select("run_id", *ID, "session_key", t_us(F.col("ts")).alias("t_us"), "species")
+
+
 @query
 def photo_manifest(spark, sf_dir):
     fired, _ = _fired(spark, sf_dir, keep=PHOTO_COLUMNS)
@@ -370,6 +380,21 @@ def gate_stream(spark, sf_dir):
     return streams.gate_rows(spark, sf_dir).select(*VERDICT, "late")
 
 
+@query
+def gate_late(spark, sf_dir):
+    return streams.late_rows(spark, sf_dir).select(*VERDICT, "late")
+
+
+@query
+def counter_stream(spark, sf_dir):
+    return streams.counter(spark, sf_dir)
+
+
+@query
+def photo_stream(spark, sf_dir):
+    return streams.photos_once(spark, sf_dir)
+
+
 @query
 def gate_state_store(spark, sf_dir):
     return streams.gate_state(spark, sf_dir)

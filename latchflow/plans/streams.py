@@ -13,21 +13,55 @@ from latchflow.sources.feeds import BATCH_BYTES
 from latchflow.streaming import autoclose, boxcache, gate, sinks
 
 
+#: Far later than any row: a beat at this time lets all rows out.
+END_OF_TIME = "2262-01-01 00:00:00"
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare_streaming(spark)
     source = spark.readStream.schema(fleet.EVENTS).option("pathGlobFilter", "events.parquet")
     return source.option("maxBytesPerTrigger", BATCH_BYTES).parquet(sf_dir)
 
 
+class Clock:
+    """A feed of beats in the shared folder, empty until told to beat."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, fresh_dir(spark, "clock")
+        spark.createDataFrame([], "frame_ts timestamp").write.parquet(self.path)
+
+    def beats(self) -> DataFrame:
+        return self.spark.readStream.schema("frame_ts timestamp").parquet(self.path)
+
+    def beat(self, at: str = END_OF_TIME) -> None:
+        row = self.spark.range(1, numPartitions=1).select(F.lit(at).cast("timestamp").alias("frame_ts"))
+        row.write.mode("append").parquet(self.path)
+
+
+def run_to_end(clock: Clock, start) -> None:
+    """Run a stream over all that is there, then once more after a last beat."""
+    start().awaitTermination()
+    clock.beat()
+    start().awaitTermination()
+
+
 def _candidates(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    rows = fleet.fleet_of(event_stream(spark, sf_dir))
-    return candidates(fleet.resolved(spark, rows)).select(*fleet.GATE_COLUMNS, *keep)
+    return _candidates_of(spark, event_stream(spark, sf_dir), keep)
 
 
-def _run_gate(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> tuple[str, str]:
-    table, checkpoint = fresh_dir(spark, "gate"), fresh_dir(spark, "gate-state")
-    stream = gate.gate_stream(_candidates(spark, sf_dir, keep), fleet.MIN_INTER_S)
-    sinks.write_table(stream, table, checkpoint).awaitTermination()
+def _candidates_of(spark: SparkSession, events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return candidates(fleet.resolved(spark, fleet.fleet_of(events))).select(*fleet.GATE_COLUMNS, *keep)
+
+
+def _run_gate(spark: SparkSession, sf_dir: str, keep_passed: bool = False, keep: tuple[str, ...] = ()) -> tuple[str, str]:
+    table, checkpoint, clock = fresh_dir(spark, "gate"), fresh_dir(spark, "gate-state"), Clock(spark)
+    rows = _candidates(spark, sf_dir, keep)
+
+    def start():
+        stream = gate.gate_stream(rows, fleet.MIN_INTER_S, beats=clock.beats(), keep_passed=keep_passed)
+        return sinks.write_table(stream, table, checkpoint)
+
+    run_to_end(clock, start)
     return table, checkpoint
 
 
@@ -35,9 +69,32 @@ def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_run_gate(spark, sf_dir)[0])
 
 
+#: Rows with this number come in a second file, after all others; what is behind them by more is late.
+STRAGGLERS, STRAGGLER_DELAY = 7, "1 day"
+
+
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over two files, of which the second has rows of all times."""
+    prepare_streaming(spark)
+    events, folder, clock = fleet.events(spark, sf_dir), fresh_dir(spark, "files"), Clock(spark)
+    behind = fleet.k_of(F.col("props")) == STRAGGLERS
+    table, checkpoint = fresh_dir(spark, "gate"), fresh_dir(spark, "gate-state")
+
+    def start():
+        source = spark.readStream.schema(fleet.EVENTS).parquet(folder)
+        stream = gate.gate_stream(_candidates_of(spark, source), fleet.MIN_INTER_S, STRAGGLER_DELAY, clock.beats())
+        return sinks.write_table(stream, table, checkpoint)
+
+    events.where(~behind).write.mode("append").parquet(folder)
+    start().awaitTermination()
+    events.where(behind).write.mode("append").parquet(folder)
+    run_to_end(clock, start)
+    return spark.read.parquet(table)
+
+
 def gate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deadlines and cooldowns the gate's stream has stored, per trap and species."""
-    _, checkpoint = _run_gate(spark, sf_dir)
+    _, checkpoint = _run_gate(spark, sf_dir, keep_passed=True)
     per_trap = gate.read_deadlines(spark, checkpoint)
     per_species = gate.read_cooldowns(spark, checkpoint)
     return per_species.join(per_trap, "trap_id").select(
@@ -61,10 +118,10 @@ def cached_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     frames = found.select("trap_id", "frame_id", "t_us", F.transform(at, box).alias("boxes"))
-    stream = boxcache.cached_box_stream(frames, fleet.BOX_TTL_S)
-    table = fresh_dir(spark, "boxes")
-    sinks.write_table(stream, table, fresh_dir(spark, "boxes-state")).awaitTermination()
-    return spark.read.parquet(table).select(
+    table, checkpoint, clock = fresh_dir(spark, "boxes"), fresh_dir(spark, "boxes-state"), Clock(spark)
+    run_to_end(clock, lambda: sinks.write_table(
+        boxcache.cached_box_stream(frames, fleet.BOX_TTL_S, beats=clock.beats()), table, checkpoint))
+    return spark.read.parquet(table).where("NOT late").select(
         "trap_id", "frame_id", "set_frame_id", "set_t_us", "det_idx", "label", "x1", "y1"
     )
 
@@ -75,23 +132,49 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(table).schema
     fired = spark.readStream.schema(schema).parquet(table).where("ok")
     timed = fired.withColumn("frame_ts", F.timestamp_micros("t_us"))
-    out = fresh_dir(spark, "closes")
-    stream = autoclose.auto_close_stream(timed, "0 seconds")
-    sinks.write_table(stream, out, fresh_dir(spark, "closes-state")).awaitTermination()
-    return spark.read.parquet(out)
+    out, checkpoint, clock = fresh_dir(spark, "closes"), fresh_dir(spark, "closes-state"), Clock(spark)
+    run_to_end(clock, lambda: sinks.write_table(autoclose.auto_close_stream(timed, beats=clock.beats()), out, checkpoint))
+    return spark.read.parquet(out).where("NOT late").select("trap_id", "trigger_us", "hold_until_us")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Species counts as the stream's counter sink leaves them."""
     keep = ("session_key", "label", "x1", "y1", "x2", "y2", "width", "height")
-    stream = gate.gate_stream(_candidates(spark, sf_dir, keep), fleet.MIN_INTER_S)
-    photos, totals = fresh_dir(spark, "photos"), fresh_dir(spark, "counts")
-    sinks.write_photos_and_counts(
-        stream, photos, totals, fresh_dir(spark, "sinks-state")
-    ).awaitTermination()
+    rows, clock = _candidates(spark, sf_dir, keep), Clock(spark)
+    photos, totals, checkpoint = fresh_dir(spark, "photos"), fresh_dir(spark, "counts"), fresh_dir(spark, "sinks-state")
+    run_to_end(clock, lambda: sinks.write_photos_and_counts(
+        gate.gate_stream(rows, fleet.MIN_INTER_S, beats=clock.beats()), photos, totals, checkpoint))
     return sinks.read_counts(spark, totals)
 
 
+def _fired_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream of triggers over two files that hold the same rows."""
+    prepare_streaming(spark)
+    keep = ("session_key", "label", "x1", "y1", "x2", "y2", "width", "height")
+    fired, folder = fleet.judged(spark, sf_dir, keep=keep)[0].where("ok"), fresh_dir(spark, "fired")
+    for _ in range(2):
+        fired.write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def photos_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photo manifests of a feed that is sent twice, in different batches."""
+    table = fresh_dir(spark, "photos")
+    # the second copy starts over, a whole month behind
+    sinks.write_photos(_fired_twice(spark, sf_dir), table, fresh_dir(spark, "photos-state"), "60 days").awaitTermination()
+    return spark.read.parquet(table).withColumn("session_key", F.col("session_key").cast("string"))
+
+
+def counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter of the gate's table, as a stream of several batches leaves it."""
+    table, _ = _run_gate(spark, sf_dir, keep=("session_key", "label"))
+    fired = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", 1).parquet(table).where("ok")
+    counts = fresh_dir(spark, "counter")
+    sinks.write_counter(fired, counts, fresh_dir(spark, "counter-state")).awaitTermination()
+    return sinks.read_counter(spark, counts)
+
+
 def inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of each embedding by nearest class centre, through the detector interface.
 

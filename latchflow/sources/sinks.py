@@ -1,10 +1,13 @@
 """Trigger events, photo manifests, counters and log lines as tables and text."""
 
-from pyspark.sql import DataFrame
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latchflow.functions.boxes import crop
 from latchflow.functions.numbers import to_seconds
+from latchflow.operators.metrics import species_counts
 
 EVENT_KEYS = ("trap_id", "frame_id", "det_idx")
 
@@ -45,6 +48,29 @@ def append_events(events: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("session_key", "event_date").parquet(path)
 
 
+def write_run(fired: DataFrame, path: str, run_id: str, encoded=None) -> None:
+    """Event, photo and counter tables of one run, each with a folder per run and session.
+
+    Only triggers whose image could be encoded are kept, in all three tables alike. A run
+    that is written again replaces what it wrote before, whatever it held.
+    """
+    kept = fired if encoded is None else fired.where(encoded)
+    tables = {
+        "events": (trigger_events(kept), ["session_key", "event_date"]),
+        "photos": (photo_manifest(kept), ["session_key"]),
+        "counts": (species_counts(kept), ["session_key"]),
+    }
+    for name, (rows, partitions) in tables.items():
+        folder = f"{path}/{name}/run_id={quote(run_id, safe='')}"
+        rows.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(folder)
+
+
+def read_run_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of all runs of a table, with run_id and session_key as texts."""
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("run_id", "session_key")})
+
+
 def log_lines(lines: DataFrame, quiet: bool) -> DataFrame:
     """Key lines always; debug lines only when not quiet."""
     levels = ["key"] if quiet else ["key", "debug"]

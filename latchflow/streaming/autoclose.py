@@ -6,57 +6,50 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
-OUT = "trap_id long, trigger_us long, hold_until_us long"
-NAMES = ["trap_id", "trigger_us", "hold_until_us"]
+from latchflow.schema import DETECTION_ORDER
+from latchflow.streaming.ordered import DELAY, Ordered, with_beats
 
+OUT = "trap_id long, trigger_us long, hold_until_us long, late boolean"
+NAMES = [part.split()[0] for part in OUT.split(", ")]
 
-def _expiry_ms(us: int) -> int:
-    return -(-us // 1000)
 
+class AutoClose(Ordered):
+    """Emits one close per hold that runs out; a trigger inside a hold replaces it.
 
-class AutoClose(StatefulProcessor):
-    """Emits one close per hold that runs out; a trigger inside a hold replaces it."""
+    The pending hold leaves the state when it is closed. A trigger behind the watermark comes out marked late.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    kinds = {"t_us": "long", "frame_id": "long", "det_idx": "long", "hold_until_us": "long"}
+    order = DETECTION_ORDER
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.hold = handle.getValueState("hold", "trigger_us long, hold_until_us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        order = ["t_us", "frame_id", "det_idx"]
-        batch = pd.concat(rows).sort_values(order, kind="stable")
+    def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
         pending = self.hold.get() if self.hold.exists() else None
-        if pending is not None:
-            self.handle.deleteTimer(_expiry_ms(pending[1]))
         closed = []
-        for t, until in batch[["t_us", "hold_until_us"]].itertuples(index=False, name=None):
-            if pending is not None and t < pending[0]:
-                continue
+        for t, _, _, until in rows:
             if pending is not None and t >= pending[1]:
-                closed.append((key[0], *pending))
+                closed.append((key[0], *pending, False))
             pending = (t, until)
-        self.hold.update(pending)
-        self.handle.registerTimer(_expiry_ms(pending[1]))
-        yield pd.DataFrame(closed, columns=NAMES)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pending = self.hold.get() if self.hold.exists() else None
-        rows = []
-        if pending is not None and _expiry_ms(pending[1]) <= expiredTimerInfo.getExpiryTimeInMs():
-            rows.append((key[0], *pending))
+        if pending is not None and pending[1] <= mark_us:
+            closed.append((key[0], *pending, False))
+            pending = None
+        if pending is not None:
+            self.hold.update(pending)
+            self.wake(pending[1])
+        else:
             self.hold.clear()
-        yield pd.DataFrame(rows, columns=NAMES)
+        yield pd.DataFrame(closed, columns=NAMES)
 
-    def close(self) -> None:
-        pass
+    def too_late(self, key, rows) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], t, until, True) for t, _, _, until in rows], columns=NAMES)
 
 
-def auto_close_stream(fired: DataFrame, delay: str = "10 seconds") -> DataFrame:
+def auto_close_stream(fired: DataFrame, delay: str = DELAY, beats: DataFrame | None = None) -> DataFrame:
     """Close rows of a stream of triggers with an event time ``frame_ts``."""
-    marked = fired.withWatermark("frame_ts", delay)
-    return (
-        marked.select("trap_id", "frame_ts", "t_us", "frame_id", "det_idx", "hold_until_us")
-        .groupBy("trap_id")
-        .transformWithStateInPandas(AutoClose(), OUT, "Append", "EventTime")
-    )
+    columns = ["trap_id", *AutoClose.kinds]
+    marked = with_beats(fired.select("frame_ts", *columns), beats, delay)
+    return marked.select(*columns).groupBy("trap_id").transformWithStateInPandas(AutoClose(), OUT, "Append", "EventTime")

@@ -7,63 +7,73 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
-from latchflow.schema import BOX_TTL_S, micros
+from latchflow.schema import BOX_TTL_S, FRAME_ORDER, micros
+from latchflow.streaming.ordered import DELAY, Ordered, with_beats
 
-OUT = "trap_id long, frame_id long, t_us long, set_frame_id long, set_t_us long, boxes string"
+OUT = "trap_id long, frame_id long, t_us long, set_frame_id long, set_t_us long, boxes string, late boolean"
+NAMES = [part.split()[0] for part in OUT.split(", ")]
 
 
-class BoxCache(StatefulProcessor):
+class BoxCache(Ordered):
     """Keeps a trap's newest set and the newest one of an earlier time.
 
     A frame sees sets of strictly earlier times only, so at the time of the newest set it still
-    sees the one before. The boxes travel as text and are opened outside.
+    sees the one before. The boxes travel as text and are opened outside. Sets that are too old for
+    any frame to come leave the state. Frames behind the watermark come out marked late and show nothing.
     """
 
+    kinds = {"t_us": "long", "frame_id": "long", "boxes": "string"}
+    order = FRAME_ORDER
+
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         kept = "t_us long, frame_id long, boxes string"
         self.latest = handle.getValueState("latest", kept)
         self.before = handle.getValueState("before", kept)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["t_us", "frame_id"], kind="stable")
+    def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
         latest, before = (s.get() if s.exists() else None for s in (self.latest, self.before))
         shown = []
-        for t, frame, boxes in batch[["t_us", "frame_id", "boxes"]].itertuples(index=False, name=None):
+        for t, frame, boxes in rows:
             seen = latest if latest is not None and latest[0] < t else before
             if seen is not None and 0 < t - seen[0] <= self.ttl_us:
-                shown.append((key[0], frame, t, seen[1], seen[0], seen[2]))
-            # A late set must not replace a newer one.
-            if isinstance(boxes, str) and (latest is None or (t, frame) > (latest[0], latest[1])):
+                shown.append((key[0], frame, t, seen[1], seen[0], seen[2], False))
+            if boxes is not None:
                 if latest is not None and latest[0] < t:
                     before = latest
                 latest = (t, frame, boxes)
-        if latest is not None:
-            self.latest.update(latest)
-        if before is not None:
-            self.before.update(before)
-        names = [part.split()[0] for part in OUT.split(", ")]
-        yield pd.DataFrame(shown, columns=names)
+        # frames to come are at the watermark or later
+        for state, kept in ((self.latest, latest), (self.before, before)):
+            if kept is not None and kept[0] + self.ttl_us >= mark_us:
+                state.update(kept)
+                self.wake(kept[0] + self.ttl_us + 1)
+            else:
+                state.clear()
+        yield pd.DataFrame(shown, columns=NAMES)
 
-    def close(self) -> None:
-        pass
+    def too_late(self, key, rows) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], frame, t, None, None, None, True) for t, frame, _ in rows], columns=NAMES).astype(
+            {"set_frame_id": "Int64", "set_t_us": "Int64"}
+        )
 
 
-def cached_box_stream(frames: DataFrame, ttl_s: float = BOX_TTL_S) -> DataFrame:
-    """Cached boxes per frame from a stream of frames with a ``boxes`` array of structs each."""
+def cached_box_stream(
+    frames: DataFrame, ttl_s: float = BOX_TTL_S, delay: str = DELAY, beats: DataFrame | None = None
+) -> DataFrame:
+    """Cached boxes per frame from a stream of frames with a ``boxes`` array of structs each; late frames have none."""
     box_type = frames.schema["boxes"].dataType
     # Missing labels must come back as missing, so NULL members are written out.
     text = F.when(F.size("boxes") > 0, F.to_json("boxes", {"ignoreNullFields": "false"}))
-    packed = frames.select("trap_id", "frame_id", "t_us", text.alias("boxes"))
-    cached = packed.groupBy("trap_id").transformWithStateInPandas(
-        BoxCache(micros(ttl_s)), OUT, "Append", "None"
-    )
+    columns = ["trap_id", *BoxCache.kinds]
+    timed = frames.select("trap_id", "frame_id", "t_us", text.alias("boxes"), F.timestamp_micros("t_us").alias("frame_ts"))
+    marked = with_beats(timed, beats, delay).select(*columns)
+    cached = marked.groupBy("trap_id").transformWithStateInPandas(BoxCache(micros(ttl_s)), OUT, "Append", "EventTime")
+    one = F.when(F.col("late"), F.array(F.lit(None).cast(box_type.elementType))).otherwise(F.from_json("boxes", box_type))
     opened = cached.select(
-        "trap_id", "frame_id", "t_us", "set_frame_id", "set_t_us",
-        F.explode(F.from_json("boxes", box_type)).alias("_b"),
+        "trap_id", "frame_id", "t_us", "set_frame_id", "set_t_us", "late", F.explode(one).alias("_b"),
     )
-    return opened.select("trap_id", "frame_id", "t_us", "set_frame_id", "set_t_us", "_b.*")
+    return opened.select("trap_id", "frame_id", "t_us", "set_frame_id", "set_t_us", "late", "_b.*")

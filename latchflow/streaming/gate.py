@@ -1,4 +1,4 @@
-"""The trigger gate as a stateful stream, one state per trap."""
+"""The trigger gate as a stateful stream in event-time order, one state per trap."""
 
 from __future__ import annotations
 
@@ -6,81 +6,110 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from latchflow.operators.gate import VERDICT, GateFold, GateState, verdict
 from latchflow.schema import DETECTION_ORDER, MIN_INTER_S, micros
+from latchflow.streaming.ordered import CHUNK, DELAY, Ordered, opened, packed, with_beats
 
 DEADLINES = "deadlines"
 COOLDOWNS = "cooldowns"
 
 
-class GateProcessor(StatefulProcessor):
-    """Applies the batch gate to the rows of each micro-batch, in time order.
+class GateProcessor(Ordered):
+    """The batch gate, fed in time order.
 
-    Rows older than the last one applied come out marked late, with no verdict and without any
-    effect on the state.
+    Cooldowns that the watermark has passed leave the state, unless ``keep_passed``; of the deadlines one
+    row per trap stays, for it tells a first trigger from later ones.
     """
 
-    def __init__(self, columns: list[str], min_inter_us: int):
-        self.columns = columns
+    kinds = {
+        "t_us": "long", "frame_id": "long", "det_idx": "long", "cooldown_key": "string", "open_us": "long", "cooldown_us": "long",
+        "force": "boolean", "rest": "string",
+    }
+    order = DETECTION_ORDER
+
+    def __init__(self, min_inter_us: int, keep_passed: bool):
         self.fold = GateFold(min_inter_us)
+        self.keep_passed = keep_passed
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.deadlines = handle.getValueState(
             DEADLINES, "busy_until_us long, hold_until_us long, last_us long"
         )
         self.cooldowns = handle.getMapState(COOLDOWNS, "cooldown_key string", "until_us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(list(DETECTION_ORDER), kind="stable", ignore_index=True)
-        stored = self.deadlines.get() if self.deadlines.exists() else (None, None, None)
-        busy, hold, last = stored
-        state = GateState(busy)
-        for name in batch["cooldown_key"].unique():
-            if self.cooldowns.containsKey((name,)):
-                state.cooling[name] = self.cooldowns.getValue((name,))[0]
-        before = dict(state.cooling)
-        late = (batch["t_us"] < last) if last is not None else pd.Series(False, index=batch.index)
-        # Rows are sorted, so the late ones come first.
-        skipped = int(late.sum())
-        on_time = batch.iloc[skipped:]
-        codes, lefts = self.fold.run(state, *(on_time[c].tolist() for c in self.fold.inputs))
-        for i in range(len(codes) - 1, -1, -1):
-            if codes[i] <= 1:
-                hold = int(on_time["t_us"].iloc[i] + on_time["open_us"].iloc[i])
-                break
-        newest = int(batch["t_us"].iloc[-1])
-        last = newest if last is None else max(last, newest)
-        self.deadlines.update((state.busy, hold, last))
-        for name, until in state.cooling.items():
-            if before.get(name) != until:
-                self.cooldowns.updateValue((name,), (until,))
-        out = batch[self.columns].copy()
-        out["gate_code"] = pd.array([None] * skipped + codes, dtype="Int32")
-        out["gate_left_us"] = pd.array([None] * skipped + lefts, dtype="Int64")
-        out["late"] = late
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def gate_stream(candidates: DataFrame, min_inter_s: float = MIN_INTER_S) -> DataFrame:
-    """Stream of candidates with verdicts and a ``late`` mark.
-
-    No watermark is involved: the gate never waits for rows, and what comes too late is shown.
+    def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
+        names = list(self.kinds)
+        for start in range(0, len(rows), CHUNK):
+            columns = dict(zip(names, map(list, zip(*rows[start : start + CHUNK]))))
+            busy, hold, _ = self.deadlines.get() if self.deadlines.exists() else (None, None, None)
+            state = GateState(busy)
+            for name in set(columns["cooldown_key"]):
+                if self.cooldowns.containsKey((name,)):
+                    state.cooling[name] = self.cooldowns.getValue((name,))[0]
+            before = dict(state.cooling)
+            codes, lefts = self.fold.run(state, *(columns[c] for c in self.fold.inputs))
+            fired = max((i for i, code in enumerate(codes) if code <= 1), default=None)
+            if fired is not None:
+                hold = columns["t_us"][fired] + columns["open_us"][fired]
+            self.deadlines.update((state.busy, hold, columns["t_us"][-1]))
+            for name, until in state.cooling.items():
+                if before.get(name) != until:
+                    self.cooldowns.updateValue((name,), (until,))
+                    self.wake(until)
+            yield self._frame(key, columns, codes, lefts, False)
+        if not self.keep_passed and self.cooldowns.exists():
+            passed = [name for (name,), (until,) in list(self.cooldowns.iterator()) if until <= mark_us]
+            for name in passed:
+                self.cooldowns.removeKey((name,))
+        if not rows:
+            yield self._frame(key, {n: [] for n in names}, [], [], False)
+
+    def too_late(self, key, rows) -> pd.DataFrame:
+        none = [None] * len(rows)
+        return self._frame(key, dict(zip(self.kinds, map(list, zip(*rows)))), none, none, True)
+
+    def _frame(self, key, columns, codes, lefts, late) -> pd.DataFrame:
+        count = len(columns["t_us"])
+        kinds = {"long": "Int64", "boolean": "boolean", "string": "object"}
+        out = {"trap_id": pd.array([int(key[0])] * count, dtype="Int64")}
+        out |= {n: pd.Series(columns[n], dtype=kinds[k]) for n, k in self.kinds.items()}
+        out["gate_code"] = pd.array(codes, dtype="Int32")
+        out["gate_left_us"] = pd.array(lefts, dtype="Int64")
+        out["late"] = pd.array([late] * count, dtype="boolean")
+        return pd.DataFrame(out)
+
+
+def gate_stream(
+    candidates: DataFrame, min_inter_s: float = MIN_INTER_S, delay: str = DELAY, beats: DataFrame | None = None,
+    keep_passed: bool = False,
+) -> DataFrame:
+    """Stream of candidates with verdicts and a ``late`` mark, equal to the batch gate for rows within ``delay``.
+
+    Candidates wait until the watermark has passed them. Rows that arrive behind it come out marked
+    late, without a verdict. ``beats`` are clock rows (frame_ts) that move the watermark on when no trap sends.
     """
     pause = micros(min_inter_s)
+    fixed = ["trap_id", *GateProcessor.kinds]
+    extra = [c for c in candidates.columns if c not in fixed]
+    timed = candidates.withColumns({"frame_ts": F.timestamp_micros("t_us"), "rest": packed(extra)})
+    # the time column itself stays behind, or late rows would be dropped before anyone sees them
+    marked = with_beats(timed, beats, delay).select(*fixed)
     schema = T.StructType(
-        candidates.schema.fields + GateFold.outputs.fields + [T.StructField("late", T.BooleanType())]
+        [T.StructField("trap_id", T.LongType())]
+        + [T.StructField(n, {"long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType()}[k]) for n, k in GateProcessor.kinds.items()]
+        + GateFold.outputs.fields + [T.StructField("late", T.BooleanType())]
     )
-    judged = candidates.groupBy("trap_id").transformWithStateInPandas(
-        GateProcessor(candidates.columns, pause), schema, "Append", "None"
+    judged = marked.groupBy("trap_id").transformWithStateInPandas(
+        GateProcessor(pause, keep_passed), schema, "Append", "EventTime"
     )
-    columns = [*candidates.columns, *VERDICT, "late"]
-    return judged.withColumns(verdict(pause)).select(*columns)
+    shape = T.StructType([candidates.schema[c] for c in extra])
+    if extra:
+        judged = judged.withColumn("_rest", opened("rest", shape)).select("*", "_rest.*")
+    return judged.withColumns(verdict(pause)).select(*candidates.columns, *VERDICT, "late")
 
 
 def read_deadlines(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from latchflow.plans import oracles, registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("events", "embeddings")
@@ -38,10 +39,15 @@ def bag(frame: pd.DataFrame) -> Counter:
     return Counter(tuple(map(cell, r)) for r in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_all_are_registered():
+    assert registry.QUERIES.items() <= entry.queries().items() and set(registry.QUERIES) == set(oracles.build())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
-    expected = duck.sql(entry.oracle_sql()[name]).df()
+    df = registry.QUERIES[name](spark, DATA)
+    expected = duck.sql(oracles.build()[name]).df()
     assert sorted(df.columns) == sorted(expected.columns)
     got = df.toPandas()
     assert len(got) and bag(got) == bag(expected)
@@ -50,7 +56,7 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ORDERED)
 def test_slices_change_nothing(spark, duck, slice_rows, name):
     slice_rows(25)
-    assert bag(entry.queries()[name](spark, DATA).toPandas()) == bag(duck.sql(entry.oracle_sql()[name]).df())
+    assert bag(registry.QUERIES[name](spark, DATA).toPandas()) == bag(duck.sql(oracles.build()[name]).df())
 
 
 def test_entry(spark):

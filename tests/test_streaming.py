@@ -1,5 +1,7 @@
 import json
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from latchflow.operators.boxcache import cached_boxes
 from latchflow.operators.door import unsuperseded
 from latchflow.operators.gate import gate
 from latchflow.plans.session import prepare_streaming
+from latchflow.plans.streams import Clock, run_to_end
 from latchflow.streaming import autoclose, boxcache, sinks
 from latchflow.streaming.gate import gate_stream, read_cooldowns, read_deadlines
 from test_gate import crowded
@@ -36,42 +39,65 @@ def run(df, table, checkpoint):
     sinks.write_table(df, table, checkpoint).awaitTermination()
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_gate_stream_equals_batch(spark, tmp_path, parts):
-    rows = sorted(crowded(5, 600, 0.01, traps=3), key=lambda r: (r[3], r[1], r[2]))
+def run_with_beat(spark, build, table, checkpoint):
+    """All that is there, then a last beat that lets every row out."""
+    clock = Clock(spark)
+    run_to_end(clock, lambda: sinks.write_table(build(clock.beats()), table, checkpoint))
+
+
+def shaken(rows, seconds, at):
+    """Rows in an order that no row is behind another one's time by more than this."""
+    rng = random.Random(2)
+    return sorted(rows, key=lambda r: r[at] + rng.random() * seconds * S)
+
+
+def stored(spark, state, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(state)
+
+
+@pytest.mark.parametrize("parts, forced", [(1, 0.01), (2, 0.0), (9, 0.02)])
+def test_gate_stream_equals_batch_however_it_is_cut(spark, tmp_path, parts, forced):
+    rows = shaken(crowded(5, 600, forced, traps=3), 9, 3)
+    schema = GATE_SCHEMA + ", note string, seen timestamp, x1 int"
+    full = [(*r, None if i % 3 else f"n{i}", "2024-01-01T00:00:00.123456Z", i) for i, r in enumerate(rows)]
     folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    write_parts(spark, rows, GATE_SCHEMA, folder, parts)
-    run(gate_stream(stream(spark, folder, GATE_SCHEMA)), table, state)
-    batch = verdicts_of(gate(spark.createDataFrame(rows, GATE_SCHEMA), WHOLE))
+    write_parts(spark, full, schema, folder, parts)
+    run_with_beat(spark, lambda beats: gate_stream(stream(spark, folder, schema), delay="10 seconds", beats=beats), table, state)
     got = spark.read.parquet(table)
-    # Rows that share an instant across two files may be judged in another order, never as late.
-    assert got.where("late").count() == 0
-    if parts == 1:
-        assert verdicts_of(got) == batch
-    else:
-        assert len(verdicts_of(got)) == len(batch)
+    assert verdicts_of(got) == verdicts_of(gate(spark.createDataFrame(rows, GATE_SCHEMA), WHOLE))
+    assert got.count() == len(rows) and got.where("late").count() == 0
+    # further columns come through as they are
+    assert {(r.det_idx, r.note, r.x1) for r in got.collect()} == {(r[2], r[8], r[10]) for r in full}
+    assert got.where("unix_micros(seen) % 1000000 <> 123456").count() == 0
+    # nothing waits, and all cooldowns have passed
+    assert stored(spark, state, "waiting").count() == stored(spark, state, "cooldowns").count() == 0
 
 
 def test_gate_stream_restart_late_rows_and_state(spark, tmp_path):
     folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    first = [(1, 1, 0, 0, "fox", 2 * S, 8 * S, False), (1, 2, 0, 1 * S, "owl", S, S, False)]
+    first = [(1, 1, 0, 1 * S, "fox", 2 * S, 8 * S, False), (1, 2, 0, 2 * S, "owl", S, S, False), (1, 6, 0, 14 * S, "elk", S, 30 * S, False)]
     second = [
-        (1, 3, 0, 500_000, "owl", S, S, False),  # older than what was applied
-        (1, 4, 0, 3_500_000, "owl", S, 4 * S, False),
+        (1, 3, 0, 1_500_000, "owl", S, S, False),  # behind the watermark of 4 s
+        (1, 4, 0, 4_500_000, "owl", S, 2 * S, False),
         (1, 5, 0, 7 * S, "fox", S, S, False),
+        (2, 7, 0, 26 * S, "owl", S, S, False),
     ]
     write_parts(spark, first, GATE_SCHEMA, folder, 1)
-    run(gate_stream(stream(spark, folder, GATE_SCHEMA)), table, state)
+    run(gate_stream(stream(spark, folder, GATE_SCHEMA), keep_passed=False), table, state)
+    assert {r.frame_id for r in spark.read.parquet(table).collect()} == {1, 2}
+    assert {r.cooldown_key: r.until_us for r in read_cooldowns(spark, state).collect()} == {"fox": 9 * S}
+    assert stored(spark, state, "waiting").count() == 1
     write_parts(spark, second, GATE_SCHEMA, folder, 1, first=1)
-    run(gate_stream(stream(spark, folder, GATE_SCHEMA)), table, state)
+    run(gate_stream(stream(spark, folder, GATE_SCHEMA), keep_passed=False), table, state)
     got = {r.frame_id: (r.reason, r.late) for r in spark.read.parquet(table).collect()}
     assert got == {
         1: ("first_trigger", False), 2: ("global_busy", False), 3: (None, True), 4: ("ok", False),
-        5: ("species_cooldown", False),
+        5: ("species_cooldown", False), 6: ("ok", False),
     }
     deadlines = [tuple(r) for r in read_deadlines(spark, state).select("trap_id", "busy_until_us", "hold_until_us", "last_us").collect()]
-    assert deadlines == [(1, 6 * S, 4_500_000, 7 * S)]
-    assert {r.cooldown_key: r.until_us for r in read_cooldowns(spark, state).collect()} == {"fox": 8 * S, "owl": 7_500_000}
+    assert deadlines == [(1, 16_500_000, 15 * S, 14 * S)]
+    # what has passed at 16 s is gone, the pending one is kept
+    assert {r.cooldown_key: r.until_us for r in read_cooldowns(spark, state).collect()} == {"elk": 44 * S}
 
 
 def test_box_stream_equals_batch(spark, tmp_path):
@@ -81,8 +107,9 @@ def test_box_stream_equals_batch(spark, tmp_path):
         boxes = [{"det_idx": j, "label": "fox" if j else None, "x1": i} for j in range(i % 3)] if i % 4 else []
         rows.append((i % 2, i, i * 700_000, boxes))
     folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    write_parts(spark, rows, "trap_id, frame_id, t_us, boxes", folder, 4)
-    run(boxcache.cached_box_stream(stream(spark, folder, schema)), table, state)
+    write_parts(spark, shaken(rows, 9, 2), "trap_id, frame_id, t_us, boxes", folder, 4)
+    run_with_beat(spark, lambda beats: boxcache.cached_box_stream(stream(spark, folder, schema), beats=beats), table, state)
+    assert stored(spark, state, "latest").count() == stored(spark, state, "before").count() == 0
     frames = spark.createDataFrame([(*r[:3], json.dumps(r[3])) for r in rows], "trap_id long, frame_id long, t_us long, b string")
     opened = frames.select("trap_id", "frame_id", "t_us", F.explode(F.from_json("b", schema.split("boxes ")[1])).alias("b"))
     batch = cached_boxes(frames, opened.select("trap_id", "frame_id", "t_us", "b.*"), WHOLE)
@@ -97,7 +124,7 @@ def test_box_stream_with_equal_times(spark, tmp_path):
     rows = [(1, i, i // 4 * S, [{"det_idx": 0, "label": "fox"}] if i % 4 in (0, 2) else []) for i in range(16)]
     folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     write_parts(spark, rows, "trap_id, frame_id, t_us, boxes", folder, 3)
-    run(boxcache.cached_box_stream(stream(spark, folder, schema), 1.0), table, state)
+    run_with_beat(spark, lambda beats: boxcache.cached_box_stream(stream(spark, folder, schema), 1.0, beats=beats), table, state)
     got = sorted((r.frame_id, r.set_frame_id) for r in spark.read.parquet(table).collect())
     assert got == [(i, i // 4 * 4 - 2) for i in range(4, 16)]
 
@@ -106,17 +133,28 @@ def test_auto_close_stream(spark, tmp_path):
     schema = "trap_id long, frame_id long, det_idx long, t_us long, hold_until_us long"
     rows = [
         (1, 1, 0, 1 * S, 3 * S), (1, 2, 0, 2 * S, 2_500_000),  # the second replaces the first
-        (2, 3, 0, 2 * S, 9 * S), (1, 4, 0, 5 * S, 6 * S), (3, 5, 0, 7 * S, 7_000_400), (2, 6, 0, 20 * S, 50 * S),
+        (2, 3, 0, 2 * S, 9 * S), (1, 4, 0, 5 * S, 6 * S), (3, 5, 0, 7 * S, 7_000_400), (2, 6, 0, 20 * S, 50 * S), (1, 7, 0, 6 * S, 8 * S),
     ]
-    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    write_parts(spark, rows, schema, folder, 3)
-    source = stream(spark, folder, schema).withColumn("frame_ts", F.timestamp_micros("t_us"))
-    run(autoclose.auto_close_stream(source, "0 seconds"), table, state)
-    got = {(r.trap_id, r.trigger_us, r.hold_until_us) for r in spark.read.parquet(table).collect()}
     fired = spark.createDataFrame(rows, schema)
     stands = {(r.trap_id, r.t_us, r.hold_until_us) for r in unsuperseded(fired, WHOLE).collect()}
-    # The last hold ends after all that was seen.
-    assert got == stands - {(2, 20 * S, 50 * S)}
+    for parts in (1, 3, 7):
+        folder, table, state = (str(tmp_path / f"{n}{parts}") for n in ("in", "out", "state"))
+        write_parts(spark, shaken(rows, 9, 3), schema, folder, parts)
+        source = stream(spark, folder, schema).withColumn("frame_ts", F.timestamp_micros("t_us"))
+        run_with_beat(spark, lambda beats: autoclose.auto_close_stream(source, beats=beats), table, state)
+        got = [(r.trap_id, r.trigger_us, r.hold_until_us, r.late) for r in spark.read.parquet(table).collect()]
+        assert sorted(got) == sorted((*r, False) for r in stands)
+        assert stored(spark, state, "hold").count() == 0
+
+
+def test_late_triggers_are_shown(spark, tmp_path):
+    schema = "trap_id long, frame_id long, det_idx long, t_us long, hold_until_us long"
+    rows = [(1, 1, 0, 30 * S, 31 * S), (1, 2, 0, 5 * S, 60 * S)]
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_parts(spark, rows, schema, folder, 2)
+    source = stream(spark, folder, schema).withColumn("frame_ts", F.timestamp_micros("t_us"))
+    run_with_beat(spark, lambda beats: autoclose.auto_close_stream(source, beats=beats), table, state)
+    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [(1, 5 * S, 60 * S, True), (1, 30 * S, 31 * S, False)]
 
 
 def test_photos_and_counts_survive_a_repeated_batch(spark, tmp_path):
@@ -124,13 +162,44 @@ def test_photos_and_counts_survive_a_repeated_batch(spark, tmp_path):
     rows = [(t, i, 0, i * 100 * S, "fox", S, S, False, "s1", "Fox", 0, 0, 9, 9, 640, 480) for i in range(6) for t in (1, 2)]
     folder, photos, counts, state = (str(tmp_path / n) for n in ("in", "photos", "counts", "state"))
     write_parts(spark, rows, schema, folder, 3)
-    judged = gate_stream(stream(spark, folder, schema))
-    sinks.write_photos_and_counts(judged, photos, counts, state).awaitTermination()
+    clock = Clock(spark)
+    run_to_end(clock, lambda: sinks.write_photos_and_counts(
+        gate_stream(stream(spark, folder, schema), beats=clock.beats()), photos, counts, state))
     # Forget the last commit: the batch runs again.
     last = sorted(int(n) for n in os.listdir(f"{state}/commits") if n.isdigit())[-1]
     os.remove(f"{state}/commits/{last}")
     os.remove(f"{state}/commits/.{last}.crc")
-    judged = gate_stream(stream(spark, folder, schema))
+    judged = gate_stream(stream(spark, folder, schema), beats=clock.beats())
     sinks.write_photos_and_counts(judged, photos, counts, state).awaitTermination()
     assert [tuple(r) for r in sinks.read_counts(spark, counts).collect()] == [("s1", "Fox", 12)]
     assert spark.read.parquet(photos).count() == 12
+
+
+def test_counter_keeps_one_row_per_key(spark, tmp_path):
+    schema = "session_key string, label string, t_us long"
+    rows = [(None if i % 5 == 0 else f"s{i % 2}", None if i % 7 == 0 else "Fox", i) for i in range(60)]
+    folder, table, state = (str(tmp_path / n) for n in ("in", "counts", "state"))
+    want = Counter((r[0], r[1]) for r in rows)
+    for part in range(3):
+        write_parts(spark, rows[part * 20 : part * 20 + 20], schema, folder, 4, first=4 * part)
+        sinks.write_counter(stream(spark, folder, schema), table, state).awaitTermination()
+        found = sinks.read_counter(spark, table)
+        assert Counter({(r.session_key, r.species): r.n for r in found.collect()}) == Counter((r[0], r[1]) for r in rows[: part * 20 + 20])
+    assert found.count() == len(want) and len(os.listdir(table)) <= 2
+    # Forget the last commit: the batch runs again.
+    last = sorted(int(n) for n in os.listdir(f"{state}/commits") if n.isdigit())[-1]
+    os.remove(f"{state}/commits/{last}")
+    os.remove(f"{state}/commits/.{last}.crc")
+    sinks.write_counter(stream(spark, folder, schema), table, state).awaitTermination()
+    assert Counter({(r.session_key, r.species): r.n for r in sinks.read_counter(spark, table).collect()}) == want
+
+
+def test_photos_sent_twice_are_kept_once(spark, tmp_path):
+    schema = "trap_id long, frame_id long, det_idx long, session_key string, label string, t_us long, x1 int, y1 int, x2 int, y2 int, width int, height int, good boolean"
+    rows = [(1, i, 0, "s1", "Fox", i * S, 0, 0, 9, 9, 640, 480, i % 4 > 0) for i in range(8)]
+    folder, table, state = (str(tmp_path / n) for n in ("in", "photos", "state"))
+    write_parts(spark, [*rows, *rows[4:], *rows], schema, folder, 3)
+    source = stream(spark, folder, schema)
+    sinks.write_photos(source, table, state, "1 minute", F.col("good")).awaitTermination()
+    assert sorted(r.frame_id for r in spark.read.parquet(table).collect()) == [1, 2, 3, 5, 6, 7]
+    assert [n for n in os.listdir(table) if n.startswith("session_key=")] == ["session_key=s1"]
