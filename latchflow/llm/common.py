@@ -46,6 +46,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _STEP = U64(0xD6E8FEB86659FD93)
 #: Ranges below this many bytes are hashed by their bytes and length in one number.
 SHORT = 8
+#: Longer ranges that are listed at a time.
+LONG_RANGES = 1 << 16
 _KEPT = np.array([(1 << 8 * n) - 1 for n in range(SHORT)], dtype=np.uint64)
 
 
@@ -89,9 +91,10 @@ class Slice:
         numbers = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=data, strides=(1,))[starts]
         out = mix((numbers & _KEPT[np.minimum(size, SHORT - 1)]) | (size.astype(np.uint64) << U64(56)))
         long = np.flatnonzero(size >= SHORT)
-        if len(long):
-            pairs = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
-            out[long] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in pairs), dtype=np.uint64, count=len(long))
+        for first in range(0, len(long), LONG_RANGES):
+            some = long[first : first + LONG_RANGES]
+            pairs = zip(starts[some].tolist(), ends[some].tolist(), strict=True)
+            out[some] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in pairs), dtype=np.uint64, count=len(some))
         return out
 
 

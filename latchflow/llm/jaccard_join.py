@@ -40,7 +40,7 @@ WORDS, PERCENT = 4, 85
 #: Shingles of a block: two blocks are what a task holds.
 BLOCK = 1_000_000
 #: Bucket hashes that a task gathers before it sends them on, and that one later group may hold.
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Bucket hashes of a level that are tied ahead of the others. Any number gives the same islands.
 AHEAD = 4
 

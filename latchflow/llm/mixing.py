@@ -139,13 +139,15 @@ def draws(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.col("doc_id").alias("_d"), F.col("tx").alias("_t"), F.col("key").alias("_k"), F.posexplode("shards").alias("_time", "_shard")
     )
     # rows alike in (doc_id, source, text) are numbered on both sides, so each row meets its own draws
-    same = plan.groupBy("_d", "_t", "_k", "_time", "_shard").count().withColumnRenamed("count", "_copies")
+    # both sides are dealt by the same four columns without nulls, so texts move once for it
+    by = [F.coalesce("_d", F.lit(0).cast("long")).alias("_i"), F.col("_d").isNull().alias("_n"), F.col("_t"), F.col("_k")]
+    same = plan.groupBy(*by, "_d", "_time", "_shard").count().withColumnRenamed("count", "_copies")
     # of such rows the smallest one stands for all; the row travels packed, so its columns meet no others
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tx"), _source(F.col("source")).alias("_key"),
+        F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"), _source(F.col("source")).alias("_k"),
         F.struct(*docs.columns).alias("_row"),
-    ).groupBy("_id", "_tx", "_key").agg(F.min("_row").alias("_row"))
-    joined = rows.join(same, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_tx") == F.col("_t")) & (F.col("_key") == F.col("_k")))
+    ).groupBy(*by).agg(F.min("_row").alias("_row"))
+    joined = rows.join(same, ["_i", "_n", "_t", "_k"])
     repeated = joined.withColumn("_copy", F.explode(F.expr("sequence(1, int(_copies))")))
     rank = F.xxhash64(F.lit(SEED), "_shard", "_d", "_t", "_time", "_copy")
     placed = repeated.select("_row", F.col("_shard").alias("shard"), rank.alias("rank"))
