@@ -3,7 +3,9 @@
 Rows are hash-partitioned by key, sorted inside the partition, and streamed once through Arrow
 batches; memory holds one state and one batch, never a group. A key that is too large for one
 task is cut into slices (see ``slices``) that run side by side. A slice needs the state its
-predecessor ends in, so slices first report the end state for assumed entry states; the driver
+predecessor ends in. A machine that can tell what a slice does to any entry state (``transfer``) is linked
+in one round: every slice sends its small table, and the driver follows them in order. Of other
+machines slices report the end state for assumed entry states; the driver
 links these small records, and slices whose true entry state was not yet tried run again. The
 emitted rows always come from the true entry state, so results equal a single ordered pass.
 """
@@ -38,6 +40,18 @@ class Fold:
         """State before the first row of a key."""
         raise NotImplementedError
 
+    def enter(self, key: tuple):
+        """State before the first row of this key."""
+        return self.fresh()
+
+    def transfer(self, *columns: list):
+        """What a whole slice does to any entry state, as a small table; None if it would not be small."""
+        return None
+
+    def follow(self, table, entry: tuple) -> tuple:
+        """Frozen end state of a slice with this table, for a frozen entry state."""
+        raise NotImplementedError
+
     def run(self, state, *columns: list) -> tuple[list, ...]:
         """Apply consecutive rows of one key, given as columns; returns the output columns.
 
@@ -91,7 +105,7 @@ def _emitter(fold: Fold, keys: Sequence[str], entries: dict[tuple, tuple]) -> Ca
             for key, columns in _segments(batch, keys, fold.inputs):
                 if key != current:
                     current = key
-                    state = fold.thaw(entries[key]) if key in entries else fold.fresh()
+                    state = fold.thaw(entries[key]) if key in entries else fold.enter(key)
                 for whole, part in zip(results, fold.run(state, *columns)):
                     whole += part
             added = [pa.array(v, t) for v, t in zip(results, out_types)]
@@ -133,6 +147,32 @@ def _prober(fold: Fold, keys: Sequence[str], trials: dict[tuple, list[tuple]]) -
     return run
 
 
+def _tabler(fold: Fold, keys: Sequence[str]) -> Callable:
+    """The transfer table of each slice, from its columns in whole."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, done = None, None, []
+
+        def close():
+            if current is not None:
+                done.append((pickle.dumps(current), pickle.dumps(fold.transfer(*held))))
+
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            for key, columns in _segments(batch, keys, fold.inputs):
+                if key != current:
+                    close()
+                    current, held = key, [[] for _ in columns]
+                for whole, part in zip(held, columns):
+                    whole += part
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*done)], ["slice_key", "found"])
+
+    return run
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     return {
         T.LongType(): pa.int64(),
@@ -160,9 +200,13 @@ def _entry_states(
         starts.setdefault(tuple(row[k] for k in keys), []).append((row[SLICE], row["_at"]))
     for line in starts.values():
         line.sort()
-    fresh = fold.freeze(fold.fresh(), 0)
+    first = {key: fold.freeze(fold.enter(key), line[0][1]) for key, line in starts.items()}
+    if type(fold).transfer is not Fold.transfer:
+        entries = _followed(placed, full, fold, starts, first)
+        if entries is not None:
+            return entries
     known: dict[tuple, dict[tuple, tuple]] = {}
-    trials = {(*key, line[0][0]): [fresh] for key, line in starts.items()}
+    trials = {(*key, line[0][0]): [first[key]] for key, line in starts.items()}
     for key, line in starts.items():
         for number, at in line[1:]:
             trials[(*key, number)] = [fold.idle(at)]
@@ -176,14 +220,31 @@ def _entry_states(
             known.setdefault(slice_key, {})[entry] = ends
         trials = {}
         for key, line in starts.items():
-            trials.update(_open_trials(key, line, fold, fresh, known))
+            trials.update(_open_trials(key, line, fold, first[key], known))
     return {
         (*key, number): entry
         for key, line in starts.items()
-        for number, entry in _linked(key, line, fold, fresh, known)
+        for number, entry in _linked(key, line, fold, first[key], known)
     }
 
 
+def _followed(placed, full, fold, starts, first) -> dict[tuple, tuple] | None:
+    """Entry states by the slices' tables, which take one job; None if a slice has no small table."""
+    rows = placed.mapInArrow(_tabler(fold, full), "slice_key binary, found binary").collect()
+    tables = {pickle.loads(bytes(r["slice_key"])): pickle.loads(bytes(r["found"])) for r in rows}
+    if any(table is None for table in tables.values()):
+        return None
+    entries = {}
+    for key, line in starts.items():
+        entry = first[key]
+        for i, (number, _) in enumerate(line):
+            entries[(*key, number)] = entry
+            if i + 1 < len(line):
+                ends = fold.follow(tables[(*key, number)], entry)
+                entry = fold.freeze(fold.thaw(ends), line[i + 1][1])
+    return entries
+
+
 def _linked(key, line, fold, fresh, known):
     """Slices whose true entry state is settled, in order, each with that state."""
     entry = fresh

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latchflow.functions.labels import cooldown_key
 from latchflow.functions.numbers import to_micros
 from latchflow.operators.fold import Fold, fold_ordered
-from latchflow.operators.slices import Layout
+from latchflow.operators.slices import SLICE, Layout, measure
+from latchflow.plans.session import shared_dir
 from latchflow.schema import DETECTION_ORDER, MIN_INTER_S, micros
 
 # Reasons in the order of the codes the state machine returns.
@@ -123,11 +124,70 @@ def candidates(resolved: DataFrame) -> DataFrame:
     )
 
 
+CHUNK = "quiet_us"
+_FIRST = -(1 << 63)
+
+
+class ChunkFold(GateFold):
+    """The gate over chunks that start when nothing can be pending any more; keys end with the chunk."""
+
+    def enter(self, key):
+        return self.fresh() if key[-1] == _FIRST else self.thaw(self.idle(key[-1]))
+
+
+def quiet_chunks(rows: DataFrame, layout: Layout, pause_us: int) -> DataFrame:
+    """Rows of hot traps with the start of their chunk, and the others without one (NULL).
+
+    A row starts a chunk if it is not before the end of anything that an earlier candidate could have
+    set: the running maximum of ``t + max(open + pause, cooldown)``. What fired is among the
+    candidates, so at such a row busy window and cooldowns have passed whatever was decided before.
+    """
+    staged = layout.assign(rows)
+    reach = F.col("t_us") + F.greatest(F.col("open_us") + pause_us, F.col("cooldown_us"))
+    hot = staged.where(F.col(SLICE).isNotNull()).withColumn("_reach", reach)
+    across = Window.partitionBy("trap_id").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("trap_id", SLICE).orderBy(*DETECTION_ORDER)
+    # these tables have one row per hot slice
+    reached = hot.groupBy("trap_id", SLICE).agg(F.max("_reach").alias("_max")).select(
+        "trap_id", SLICE, F.max("_max").over(across).alias("_before")
+    )
+    pending = F.greatest(F.max("_reach").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    started = F.when(F.col("_pending").isNull(), F.lit(_FIRST)).when(F.col("t_us") >= F.col("_pending"), F.col("t_us"))
+    marked = (
+        hot.join(F.broadcast(reached), ["trap_id", SLICE])
+        .withColumn("_pending", pending).withColumn("_start", started)
+        .withColumn("_own", F.last("_start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .select(*rows.columns, SLICE, "_own")
+    )
+    shared_dir(rows.sparkSession)
+    marked = marked.checkpoint()
+    begun = marked.groupBy("trap_id", SLICE).agg(F.max("_own").alias("_last")).select(
+        "trap_id", SLICE, F.last("_last", ignorenulls=True).over(across).alias("_carried")
+    )
+    chunked = marked.join(F.broadcast(begun), ["trap_id", SLICE]).select(
+        *rows.columns, F.coalesce("_own", "_carried").alias(CHUNK)
+    )
+    cold = staged.where(F.col(SLICE).isNull()).select(*rows.columns, F.lit(None).cast("long").alias(CHUNK))
+    return chunked.unionByName(cold)
+
+
 def gate(rows: DataFrame, layout: Layout, min_inter_s: float = MIN_INTER_S) -> DataFrame:
-    """Append the gate's verdict to candidate rows."""
+    """Append the gate's verdict to candidate rows.
+
+    A hot trap is cut at its quiet points, where the state is known, so its chunks run side by side
+    without any trial. Only a chunk that is too large for a task itself is sliced and tried.
+    """
     pause = micros(min_inter_s)
-    judged = fold_ordered(rows, ["trap_id"], DETECTION_ORDER, GateFold(pause), layout)
-    return judged.withColumns(verdict(pause)).drop("gate_code", "gate_left_us")
+    if not layout.hot:
+        judged = fold_ordered(rows, ["trap_id"], DETECTION_ORDER, GateFold(pause), layout)
+        return judged.withColumns(verdict(pause)).drop("gate_code", "gate_left_us")
+    rows_of = quiet_chunks(rows, layout, pause)
+    hot, cold = rows_of.where(F.col(CHUNK).isNotNull()), rows_of.where(F.col(CHUNK).isNull()).drop(CHUNK)
+    keys = ["trap_id", CHUNK]
+    dense = measure(hot, tuple(keys))
+    parts = fold_ordered(hot, keys, DETECTION_ORDER, ChunkFold(pause), dense).drop(CHUNK)
+    rest = fold_ordered(cold, ["trap_id"], DETECTION_ORDER, GateFold(pause), Layout(("trap_id",), "t_us", total=layout.total))
+    return parts.unionByName(rest).withColumns(verdict(pause)).drop("gate_code", "gate_left_us")
 
 
 def decisions(resolved: DataFrame, layout: Layout, min_inter_s: float = MIN_INTER_S) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +34,14 @@ KEPT = T.StructType([T.StructField("kept", T.BooleanType())])
 class ThrottleFold(Fold):
     """Keep a row when ``(t - last kept) * rate >= unit``; whole numbers unless the rate is not one.
 
-    With ``start_counts`` the first row only starts the clock.
+    With ``start_counts`` the first row only starts the clock. A slice's table names, for the rows that
+    may be the first kept one, the last row kept from there on: each kept row has one successor, so
+    these are found from the slice's end backwards, and neighbours that run together share an entry.
     """
 
+    #: Entries of a slice's table; a slice with more rows within one gap is tried instead.
+    TABLE = 20_000
+
     inputs = ("t_us",)
     outputs = KEPT
 
@@ -58,6 +65,35 @@ class ThrottleFold(Fold):
         state[0] = last
         return (kept,)
 
+    def gap(self) -> int:
+        """The smallest difference of times that lets a row pass."""
+        gap = max(0, int(self.unit / self.rate) - 1)
+        while gap * self.rate < self.unit:
+            gap += 1
+        return gap
+
+    def transfer(self, times):
+        times, gap = np.array(times, dtype=np.int64), self.gap()
+        following = np.searchsorted(times, times + gap).tolist()
+        if gap == 0:
+            following = list(range(1, len(times) + 1))
+        last = times.tolist()
+        for i in range(len(last) - 1, -1, -1):
+            if following[i] < len(last):
+                last[i] = last[following[i]]
+        # the row before the slice is earlier than its first one
+        many = min(len(last), int(np.searchsorted(times, times[0] + gap)) + 1)
+        table = [(int(times[i]), last[i]) for i in range(many) if i + 1 == many or last[i] != last[i + 1]]
+        return (last[0], table) if len(table) <= self.TABLE else None
+
+    def follow(self, table, entry):
+        from_first, firsts = table
+        last = self.thaw(entry)[0]
+        if last is None:
+            return ("at", from_first)
+        place = bisect_left(firsts, (last + self.gap(),))
+        return ("at", firsts[place][1] if place < len(firsts) else last)
+
     def freeze(self, state, at):
         last = state[0]
         if last is None:

@@ -4,7 +4,7 @@ import pytest
 
 from helpers import GATE_SCHEMA, WHOLE, S, gate_by_hand, verdicts_of
 from latchflow.operators.door import blockers
-from latchflow.operators.gate import candidates, decisions, gate
+from latchflow.operators.gate import _FIRST, CHUNK, candidates, decisions, gate, quiet_chunks
 from latchflow.operators.policy import with_policy
 from latchflow.operators.slices import measure
 from latchflow.sources.settings import settings_from_text
@@ -111,3 +111,43 @@ def test_only_candidates_are_shuffled(spark):
     resolved = with_policy(df, settings_from_text(spark, "{}"))
     plan = gate(candidates(resolved), WHOLE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and plan.index("Filter") > plan.index("Exchange")
+
+
+def jobs_of(spark, name, build):
+    """Result of a query and the number of jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        found = build()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_a_hot_trap_takes_as_many_jobs_however_many_slices_it_has(spark, slice_rows):
+    # groups of rows with a quiet time between them, so a trap has many chunks
+    rng = random.Random(1)
+    rows = [(0, i, 0, (i // 8) * 60 * S + rng.randrange(20) * S, rng.choice("ab"), S, 9 * S, i % 50 == 0) for i in range(1600)]
+    df = spark.createDataFrame(rows, GATE_SCHEMA).repartition(4).checkpoint()
+    want, counted = gate_by_hand(rows, 1_500_000), set()
+    for limit in (160, 40):
+        slice_rows(limit)
+        layout = measure(df)
+        assert len(layout.hot[(0,)]) >= 1600 // limit - 1
+        got, jobs = jobs_of(spark, f"gate-{limit}", lambda layout=layout: verdicts_of(gate(df, layout, INTER)))
+        assert got == want
+        counted.add(jobs)
+    assert len(counted) == 1, counted
+
+
+def test_chunks_start_where_nothing_is_pending(spark, slice_rows):
+    rows = crowded(3, 1200, 0.02, span=40_000)
+    slice_rows(60)
+    df = spark.createDataFrame(rows, GATE_SCHEMA)
+    chunks = {(r.trap_id, r.frame_id, r.det_idx): r[CHUNK] for r in quiet_chunks(df, measure(df), 1_500_000).collect()}
+    reach, start = None, None
+    for r in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if reach is None or r[3] >= reach:
+            start = _FIRST if reach is None else r[3]
+        assert chunks[(r[0], r[1], r[2])] == start
+        reach = max(reach or 0, r[3] + max(r[5] + 1_500_000, r[6]))
+    assert len(set(chunks.values())) > 20

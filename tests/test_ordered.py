@@ -70,6 +70,43 @@ def test_sliced_throttle_on_a_regular_grid(spark, slice_rows, step):
     assert ids(marked.where("kept")) == throttle_by_hand(times, 730_000)
 
 
+@pytest.mark.parametrize("gap_us, rate", [(20_000_000, 1), (730_000, 1), (1_000_000, 12), (1_000_000, 0.7), (0, 1)])
+def test_throttle_of_a_dense_trap_takes_as_many_jobs_however_many_slices(spark, slice_rows, gap_us, rate):
+    rng, t, times = random.Random(7), 0, []
+    for _ in range(1500):
+        t += rng.choice([0, 83_333, 83_334, 400_000, 5_000_000]) if rng.random() < 0.9 else rng.randrange(40_000_000)
+        times.append(t)
+    df = frames(spark, times).checkpoint()
+    kept, last = [], None
+    for i, at in enumerate(times):
+        if last is None or (at - last) * rate >= gap_us:
+            kept.append(i)
+            last = at
+    counted = set()
+    for limit in (150, 38):
+        slice_rows(limit)
+        layout = measure(df)
+        fold = thinning.ThrottleFold(gap_us, rate)
+        name = f"throttle-{gap_us}-{rate}-{limit}"
+        spark.sparkContext.setJobGroup(name, name)
+        assert ids(fold_ordered(df, ["trap_id"], ["t_us", "frame_id"], fold, layout).where("kept")) == kept
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        counted.add(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    assert len(counted) == 1, counted
+
+
+def test_throttle_without_tables_is_tried(spark, slice_rows, monkeypatch):
+    times = sorted(random.Random(3).randrange(100_000_000) for _ in range(900))
+    slice_rows(100)
+    df = frames(spark, times)
+    layout = measure(df)
+    want = throttle_by_hand(times, 2_000_000)
+    for most in (20_000, 1):
+        monkeypatch.setattr(thinning.ThrottleFold, "TABLE", most)
+        fold = thinning.ThrottleFold(2_000_000)
+        assert ids(fold_ordered(df, ["trap_id"], ["t_us", "frame_id"], fold, layout).where("kept")) == want
+
+
 def test_slices_are_balanced_and_ordered(spark, slice_rows):
     # Half of the rows fall into one second of a day.
     day = F.when(F.col("id") % 2 == 0, F.col("id") * 40_000_000).otherwise(F.lit(5_000_000) + F.col("id") * 200)
