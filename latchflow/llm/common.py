@@ -6,6 +6,7 @@ Hashes have 64 bits. Ranges of less than eight bytes never collide: their bytes
 Longer ones take xxh3 of their bytes, no sum of powers, whose collisions could be written down.
 """
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with little work hardly ever does by
+    itself, while the files of one step after another pile up on the executors.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arranged(df: DataFrame, *order: Column) -> DataFrame:
     """Rows in a global order, fixed in the shared folder, with `_part` and `_at`.
 

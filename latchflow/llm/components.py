@@ -8,7 +8,7 @@ one checksum per round.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchflow.llm.common import checkpointed
+from latchflow.llm.common import checkpointed, released
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,8 @@ def components(links: DataFrame) -> DataFrame:
                 F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
+        del both, large, small
+        released(links.sparkSession)
         after = _state(edges)
         if after == state:
             break

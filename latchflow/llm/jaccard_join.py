@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchflow.llm.common import U64, checkpointed, mix, running, slices, windows
+from latchflow.llm.common import U64, checkpointed, mix, released, running, slices, windows
 from latchflow.llm.components import components
 from latchflow.llm.signature_trees import link
 
@@ -333,6 +333,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         classes.join(early, F.col("class_id") == F.col("node"), "left")
         .select("class_id", *own, F.coalesce("component", "class_id").alias("label"))
     )
+    del early, firsts
+    released(docs.sparkSession)
     total = labelled.agg(F.sum("n")).first()[0] or 0
     labels = labelled.select("class_id", "label").distinct()
     shown = docs.join(labels, F.col("doc_id") == F.col("class_id")).select(F.col("label").alias("doc_id"), "text")
@@ -346,7 +348,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int
         running(members, "island", [F.col("n"), F.col("class_id")], "n", "_before")
         .withColumn("block", F.expr(f"_before div {block}")).withColumn("label", F.col("class_id")).drop("_before")
     )
+    del islands, shown, members
+    released(docs.sparkSession)
     links = _links(docs, placed, words, percent)
+    released(docs.sparkSession)
     linked = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     named = classes.join(linked, "class_id", "left").select(
         *own, F.coalesce("component_id", "class_id").alias("component_id")
@@ -374,6 +379,7 @@ def _links(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> Data
     if placed.where("block > 1").isEmpty():
         return links
     labels = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("_c"))
+    released(docs.sparkSession)
     now = checkpointed(
         placed.join(labels, "class_id", "left").withColumn("label", F.coalesce("_c", "label")).drop("_c")
     )
