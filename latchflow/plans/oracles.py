@@ -155,7 +155,7 @@ slugged AS (
   FROM messy)"""
 
 CASCADE = """
-cfg(key, o, c, m) AS (VALUES ('_default', 1.5, 8.0, 0.45), ('bird', 1.2, 10.0, 0.5),
+cfg(key, o, c, m) AS (VALUES ('_default', 1.75, 9.0, 0.4), ('bird', 2.25, 11.0, 0.55),
   ('squirrel', 0.0, NULL, NULL), ('click', NULL, NULL, NULL), ('Purchase', 2.5, NULL, NULL),
   ('view-fast-mover', NULL, 12.5, 0.25), ('critter', 0.75, 4.0, NULL)),
 resolved AS (
@@ -232,11 +232,14 @@ def _settings_load() -> str:
     return f"""
 WITH docs AS (
   SELECT event_id AS doc_id, CASE
-    WHEN k < 50 THEN '{{"_default": {{"open_duration": 1.5, "cooldown_duration": 8, "confidence_threshold": 0.45}}, "'
+    WHEN k < 50 THEN '{{"_default": {{"open_duration": 1.75, "cooldown_duration": 9, "confidence_threshold": 0.4}}, "'
       || event_type || '": {{"open_duration": ' || CAST(k / 4 AS VARCHAR) || ', "cooldown_duration": ' || k || '}}}}'
     WHEN k < 60 THEN '{{"_default": ' WHEN k < 70 THEN '[1, 2]'
     WHEN k < 80 THEN '{{"' || event_type || '": {{}}, "x": 5}}'
     WHEN k < 90 THEN '{{"' || event_type || '": {{"open_duration": null}}, "y": null}}'
+    WHEN k < 92 THEN '{{"' || event_type || '": {{''open_duration'': 1}}}}'
+    WHEN k < 94 THEN '{{"' || event_type || '": {{}}}} {{"x": {{}}}}'
+    WHEN k < 96 THEN '{{"' || event_type || '": {{"open_duration": "null", "cooldown_duration": "4.5"}}}}'
     ELSE '{{}}' END AS t
   FROM (SELECT *, {K} AS k FROM events)),
 typed AS (SELECT doc_id, t, CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE FALSE END AS fine FROM docs),

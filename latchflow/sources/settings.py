@@ -1,8 +1,10 @@
-"""Per-species settings: a JSON object of policies, read with Spark's JSON functions."""
+"""Per-species settings: a JSON object of policies, read strictly through VARIANT."""
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,25 +17,54 @@ FIELDS = ("open_duration", "cooldown_duration", "confidence_threshold")
 DEFAULT_KEY = "_default"
 # Keys with a fallback rule of their own, in the order in which they are tried.
 FALLBACK_KEYS = ("bird", "squirrel", "critter", DEFAULT_KEY)
-STRICT = {"allowSingleQuotes": "false"}
 LITERAL_KEYS = 64
 BROADCAST_ROWS = 100_000
 
 
-def _field(members: Column, name: str) -> Column:
-    return F.try_element_at(members, F.lit(name)).try_cast("double")
+@contextmanager
+def _last_key_counts(spark: SparkSession) -> Iterator[None]:
+    """Expressions built inside take the last of equal keys; the caller's setting comes back."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _last_entries(cfg: Column) -> Column:
-    """Entries of a parsed object; of a key written twice the last one counts."""
-    entries = F.map_entries(cfg)
-    keys = F.map_keys(cfg)
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
 
-    def is_last(entry: Column, at: Column) -> Column:
-        return ~F.array_contains(F.slice(keys, at + 2, F.size(keys)), entry["key"])
 
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.when(unique, entries).otherwise(F.filter(entries, is_last))
+def _strict(text: Column) -> Column:
+    """The text as a VARIANT, NULL unless it is one JSON value and nothing else.
+
+    The parser stops behind the first value. Standing inside an object in front of a key that the text
+    cannot hold, its own digest, a text with anything behind its value breaks the object or hides that key.
+    """
+    mark = F.sha2(text, 256)
+    whole = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"'), mark, F.lit('":0}')))
+    members = _as(whole, "map<string,variant>")
+    return F.when((F.size(members) == 2) & F.map_contains_key(members, mark), F.try_element_at(members, F.lit("value")))
+
+
+def _kind(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a numeric type; NULL for no value."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _truthy(value: Column) -> Column:
+    """Whether the value counts as filled: not null, zero, false or empty."""
+    kind = _kind(value)
+    return (
+        F.when(kind == "VOID", F.lit(False))
+        .when(kind == "BOOLEAN", _as(value, "boolean"))
+        .when(kind == "STRING", _as(value, "string") != "")
+        .when(kind == "ARRAY", F.size(_as(value, "array<variant>")) > 0)
+        .when(kind == "OBJECT", F.size(_as(value, "map<string,variant>")) > 0)
+        .otherwise(_as(value, "double") != 0)
+    )
 
 
 def parse_settings(
@@ -45,54 +76,46 @@ def parse_settings(
 ) -> DataFrame:
     """One row per policy of each settings text.
 
-    A text that is no JSON object gives the single fallback policy. ``is_object`` tells whether
+    A text that is no JSON object, strictly and as a whole, gives the single fallback policy. Values keep
+    their kinds, so ``null`` and ``"null"`` differ. ``is_object`` tells whether
     the value can be a policy at all; ``bad_field`` whether one of its fields is not a number,
     which the loader refuses.
     """
     kept = [c for c in docs.columns if c != text]
-    # The parser wants an object to fill a map; a scalar or an array yields NULL or no map.
-    # It also reads past the end of an object and takes single quotes, which are no JSON.
-    is_dict = F.coalesce(F.col(text).rlike(r"(?s)^\s*\{.*\}\s*$"), F.lit(False))
-    parsed = docs.select(
-        *kept, F.when(is_dict, F.from_json(text, "map<string,string>", STRICT)).alias("_cfg")
-    )
+    with _last_key_counts(docs.sparkSession):
+        parsed = docs.select(*kept, _strict(F.col(text)).alias("_doc")).select(
+            *kept, F.when(_kind(F.col("_doc")) == "OBJECT", _as(F.col("_doc"), "map<string,variant>")).alias("_cfg")
+        )
     fallback = F.array(
-        F.struct(F.lit(DEFAULT_KEY).alias("key"), F.lit(None).cast("string").alias("value"))
+        F.struct(F.lit(DEFAULT_KEY).alias("key"), F.lit(None).cast("variant").alias("value"))
     )
     rows = parsed.select(
         *kept,
         F.col("_cfg").isNull().alias("from_fallback"),
-        F.explode(F.coalesce(_last_entries(F.col("_cfg")), fallback)).alias("_entry"),
+        F.explode(F.coalesce(F.map_entries("_cfg"), fallback)).alias("_entry"),
     ).select(*kept, "from_fallback", F.col("_entry.key").alias("key"), F.col("_entry.value").alias("_value"))
-    is_object = F.coalesce(F.startswith("_value", F.lit("{")), F.lit(False))
+    value = F.col("_value")
+    is_object = F.coalesce(_kind(value) == "OBJECT", F.lit(False))
     members = rows.select(
         *kept,
         "from_fallback",
         "key",
         (is_object | F.col("from_fallback")).alias("is_object"),
-        F.when(is_object, F.from_json("_value", "map<string,string>")).alias("_members"),
-        F.when(F.col("from_fallback"), F.lit(False))
-        .when(is_object, F.lit(False))
-        .otherwise(~F.coalesce(F.col("_value").isin("0", "0.0", "false", "", "[]"), F.lit(True)))
-        .alias("_truthy_scalar"),
+        F.when(is_object, _as(value, "map<string,variant>")).alias("_members"),
+        (~F.col("from_fallback") & ~is_object & F.coalesce(_truthy(value), F.lit(False))).alias("_truthy_scalar"),
     )
+    fields = {n: _as(F.try_element_at("_members", F.lit(n)), "double") for n in FIELDS}
     broken = F.lit(False)
-    for name in FIELDS:
-        present = F.coalesce(F.array_contains(F.map_keys("_members"), name), F.lit(False))
-        broken = broken | (present & _field(F.col("_members"), name).isNull())
+    for name, number in fields.items():
+        broken = broken | (F.coalesce(F.map_contains_key("_members", name), F.lit(False)) & number.isNull())
     defaults = dict(zip(FIELDS, (hold_s, cooldown_s, conf)))
     return members.select(
         *kept,
         "from_fallback",
         "key",
         "is_object",
-        *(
-            F.when(F.col("from_fallback"), F.lit(defaults[n]))
-            .otherwise(_field(F.col("_members"), n))
-            .alias(n)
-            for n in FIELDS
-        ),
-        F.size(F.coalesce("_members", F.create_map().cast("map<string,string>"))).alias("n_fields"),
+        *(F.when(F.col("from_fallback"), F.lit(defaults[n])).otherwise(fields[n]).alias(n) for n in FIELDS),
+        F.coalesce(F.size("_members"), F.lit(0)).alias("n_fields"),
         broken.alias("bad_field"),
         # Only an empty default may stand for the literal defaults; other fallbacks are used as they are.
         F.when(F.col("key") == DEFAULT_KEY, F.col("_truthy_scalar"))
@@ -159,6 +182,9 @@ def load_settings(spark: SparkSession, path: str, conf: float = GLOBAL_CONF) ->
     try:
         docs = spark.read.text(path, wholetext=True).withColumnRenamed("value", "settings_text")
         rows = parse_settings(docs, conf=conf)
+        if rows.isEmpty():
+            warnings.warn(f"settings in {path} are empty; using defaults", stacklevel=2)
+            return settings_from_text(spark, None, conf)
         if rows.where("from_fallback").limit(1).count():
             warnings.warn(f"settings in {path} are not a JSON object; using defaults", stacklevel=2)
         return checked(rows)
