@@ -15,12 +15,15 @@ POLICY_ROWS = ", ".join(
 )
 
 
-def det(forced: bool = False, lost: str = "FALSE") -> str:
+DAY = ("epoch_us(date_trunc('day', ts))", "epoch_us(date_trunc('day', ts)) // 86400000000")
+
+
+def det(forced: bool = False, lost: str = "FALSE", at: tuple[str, str] = ("epoch_us(ts)", "event_id")) -> str:
     force = f"{K} = 7" if forced else "FALSE"
     return f"""
 det AS (
-  SELECT user_id AS trap_id, 'session_' || (user_id % 4) AS session_key, event_id AS frame_id,
-         event_id AS det_idx, epoch_us(ts) AS t_us, event_type AS label,
+  SELECT user_id AS trap_id, 'session_' || (user_id % 4) AS session_key, {at[1]} AS frame_id,
+         event_id AS det_idx, {at[0]} AS t_us, event_type AS label,
          least(CAST(1 AS DOUBLE), value / 100) AS conf,
          CAST((event_id * 37) % 700 - 30 AS INTEGER) AS x1,
          CAST((event_id * 53) % 520 - 20 AS INTEGER) AS y1,
@@ -38,7 +41,7 @@ cand AS (
   FROM pdet WHERE (eligible OR force) AND NOT ({lost}))"""
 
 
-def gate(forced: bool = False, lost: str = "FALSE") -> str:
+def gate(forced: bool = False, lost: str = "FALSE", at: tuple[str, str] = ("epoch_us(ts)", "event_id")) -> str:
     ready = " ".join(f"WHEN '{n}' THEN g.cd_{n}" for n in LABELS)
     start = ", ".join(
         f"CASE WHEN label = '{n}' THEN t_us + cd_us END AS cd_{n}" for n in LABELS
@@ -48,7 +51,7 @@ def gate(forced: bool = False, lost: str = "FALSE") -> str:
         f"CASE WHEN reason = 'ok' AND label = '{n}' THEN t_us + cd_us ELSE cd_{n} END" for n in LABELS
     )
     return f"""
-WITH RECURSIVE {det(forced, lost)},
+WITH RECURSIVE {det(forced, lost, at)},
 g AS (
   SELECT trap_id, rn, 'first_trigger' AS reason, CAST(0 AS BIGINT) AS species_left_us,
          CAST(0 AS BIGINT) AS busy_left_us, t_us + open_us + {INTER_US} AS busy, {start}
@@ -486,6 +489,13 @@ def build() -> dict[str, str]:
             SELECT * FROM species JOIN busy USING (trap_id) JOIN trap USING (trap_id)""",
         "box_ttl_stream": f"""WITH {FRAMES}, {BOXES}, {CACHED}
             SELECT trap_id, frame_id, set_frame_id, set_t_us, det_idx, label, x1, y1 FROM cached""",
+        "gate_multibox": f"{gate(at=DAY)} SELECT {VERDICT} FROM judged",
+        "door_open_stream": f"""{gate()} SELECT f.trap_id, f.frame_id, f.t_us, g.t_us AS trigger_us,
+            g.frame_id AS trigger_frame_id, g.hold_until_us
+            FROM det f ASOF JOIN fired g ON f.trap_id = g.trap_id AND f.t_us >= g.t_us
+            WHERE f.t_us < g.hold_until_us""",
+        "latest_frame_stream": f"""WITH {FRAMES} SELECT trap_id, t_us // 21600000000 AS poll,
+            arg_max(frame_id, t_us) AS frame_id, max(t_us) AS t_us FROM frames GROUP BY 1, 2""",
         "gate_late": f"""{gate(lost=LATE)} SELECT {VERDICT}, FALSE AS late FROM judged UNION ALL
             SELECT trap_id, frame_id, det_idx, t_us, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE FROM pdet
             WHERE (eligible OR force) AND {LATE}""",

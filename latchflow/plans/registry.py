@@ -11,7 +11,7 @@ from latchflow.functions.boxes import crop
 from latchflow.functions.labels import cooldown_key, label_slug
 from latchflow.functions.numbers import t_us
 from latchflow.operators import boxcache, detect, door, metrics, policy, render, thinning
-from latchflow.operators.gate import decisions
+from latchflow.operators.gate import candidates, decisions, gate
 from latchflow.operators.slices import measure
 from latchflow.operators.suppress import suppress
 from latchflow.plans import fleet, streams
@@ -315,6 +315,16 @@ def gate_decisions(spark, sf_dir):
     return fleet.judged(spark, sf_dir)[0].select(*VERDICT)
 
 
+@query
+def gate_multibox(spark, sf_dir):
+    """Several boxes a frame: a trap's events of one day are the boxes of one frame."""
+    day = F.date_trunc("day", "frame_ts")
+    rows = fleet.fleet(spark, sf_dir).withColumns({"t_us": t_us(day), "frame_id": F.unix_date(day.cast("date")).cast("long")})
+    layout = measure(rows)
+    entering = candidates(fleet.resolved(spark, rows)).select(*fleet.GATE_COLUMNS)
+    return gate(entering, layout, fleet.MIN_INTER_S).select(*VERDICT)
+
+
 @query
 def gate_forced(spark, sf_dir):
     return fleet.judged(spark, sf_dir, forced=True)[0].select(*VERDICT, "force")
@@ -380,6 +390,16 @@ def gate_stream(spark, sf_dir):
     return streams.gate_rows(spark, sf_dir).select(*VERDICT, "late")
 
 
+@query
+def door_open_stream(spark, sf_dir):
+    return streams.open_frames(spark, sf_dir)
+
+
+@query
+def latest_frame_stream(spark, sf_dir):
+    return streams.latest_frames(spark, sf_dir, 6 * 3600)
+
+
 @query
 def gate_late(spark, sf_dir):
     return streams.late_rows(spark, sf_dir).select(*VERDICT, "late")

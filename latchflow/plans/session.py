@@ -34,8 +34,9 @@ def prepare(spark: SparkSession) -> None:
 
 
 def prepare_streaming(spark: SparkSession) -> None:
-    """Stateful operators with several state variables need the RocksDB store."""
+    """Stateful operators with several state variables need the RocksDB store; its changelogs tell what a batch changed."""
     prepare(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -10,7 +10,7 @@ from latchflow.operators.gate import candidates
 from latchflow.plans import fleet
 from latchflow.plans.session import fresh_dir, prepare_streaming
 from latchflow.sources.feeds import BATCH_BYTES
-from latchflow.streaming import autoclose, boxcache, gate, sinks
+from latchflow.streaming import autoclose, boxcache, door, gate, sinks
 
 
 #: Far later than any row: a beat at this time lets all rows out.
@@ -137,6 +137,27 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).where("NOT late").select("trap_id", "trigger_us", "hold_until_us")
 
 
+def open_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames inside holds, joined with the stream of holds that a stream of triggers leaves."""
+    table, _ = _run_gate(spark, sf_dir)
+    fired = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table).where("ok")
+    ended, checkpoint, clock = fresh_dir(spark, "holds"), fresh_dir(spark, "holds-state"), Clock(spark)
+    run_to_end(clock, lambda: sinks.write_table(door.hold_stream(fired, beats=clock.beats()), ended, checkpoint))
+    holds = spark.readStream.schema(door.OUT).parquet(ended).where("NOT late")
+    frames = fleet.fleet_of(event_stream(spark, sf_dir))
+    longest = max(hold for hold, _, _ in fleet.POLICIES.values()) * fleet.HOUR_S
+    out = fresh_dir(spark, "open-frames")
+    sinks.write_table(door.open_frame_stream(frames, holds, longest), out, fresh_dir(spark, "open-state")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def latest_frames(spark: SparkSession, sf_dir: str, poll_s: float) -> DataFrame:
+    frames = fleet.frames_of(event_stream(spark, sf_dir)).where("ok")
+    table, checkpoint, clock = fresh_dir(spark, "latest"), fresh_dir(spark, "latest-state"), Clock(spark)
+    run_to_end(clock, lambda: sinks.write_table(door.latest_frame_stream(frames, poll_s, beats=clock.beats()), table, checkpoint))
+    return spark.read.parquet(table)
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Species counts as the stream's counter sink leaves them."""
     keep = ("session_key", "label", "x1", "y1", "x2", "y2", "width", "height")

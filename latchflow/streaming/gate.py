@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from latchflow.operators.gate import VERDICT, GateFold, GateState, verdict
+from latchflow.plans.session import folders
 from latchflow.schema import DETECTION_ORDER, MIN_INTER_S, micros
 from latchflow.streaming.ordered import CHUNK, DELAY, Ordered, opened, packed, with_beats
 
@@ -112,15 +113,15 @@ def gate_stream(
     return judged.withColumns(verdict(pause)).select(*candidates.columns, *VERDICT, "late")
 
 
-def read_deadlines(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Deadlines per trap, read from a running or stopped gate's checkpoint."""
-    state = _state(spark, checkpoint, DEADLINES)
+def read_deadlines(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """Deadlines per trap, read from a running or stopped gate's checkpoint, now or as a batch left them."""
+    state = _state(spark, checkpoint, DEADLINES, batch_id)
     return state.selectExpr("key.trap_id AS trap_id", "value.*")
 
 
-def read_cooldowns(spark: SparkSession, checkpoint: str) -> DataFrame:
+def read_cooldowns(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
     """Cooldown ends per trap and species, read from the gate's checkpoint."""
-    state = _state(spark, checkpoint, COOLDOWNS)
+    state = _state(spark, checkpoint, COOLDOWNS, batch_id)
     return state.selectExpr(
         "key.trap_id AS trap_id",
         "user_map_key.cooldown_key AS cooldown_key",
@@ -128,5 +129,31 @@ def read_cooldowns(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+def committed(spark: SparkSession, checkpoint: str) -> list[int]:
+    """Batches that the stream has finished and whose state is still kept."""
+    return sorted(int(n) for n in folders(spark, f"{checkpoint}/commits") if n.isdigit())
+
+
+def deadline_history(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Deadlines of every trap after each finished batch."""
+    found = [read_deadlines(spark, checkpoint, b).withColumn("batch_id", F.lit(b).cast("long")) for b in committed(spark, checkpoint)]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def deadline_changes(spark: SparkSession, checkpoint: str, first: int = 0) -> DataFrame:
+    """What each batch from ``first`` on wrote: batch_id, change_type, trap_id and the deadlines.
+
+    The stream must have run with changelog checkpoints, as ``prepare_streaming`` asks for.
+    """
+    state = spark.read.format("statestore").option("stateVarName", DEADLINES).option("readChangeFeed", "true")
+    return state.option("changeStartBatchId", first).load(checkpoint).selectExpr(
+        "batch_id", "change_type", "key.trap_id AS trap_id", "value.*"
+    )
+
+
+def _state(spark: SparkSession, checkpoint: str, name: str, batch_id: int | None) -> DataFrame:
+    reader = spark.read.format("statestore").option("stateVarName", name)
+    return (reader if batch_id is None else reader.option("batchId", batch_id)).load(checkpoint)

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from helpers import GATE_SCHEMA, WHOLE, S, verdicts_of
 from latchflow.operators.boxcache import cached_boxes
-from latchflow.operators.door import unsuperseded
+from latchflow.operators.door import open_frames, unsuperseded
 from latchflow.operators.gate import gate
+from latchflow.operators.metrics import latest_frames
 from latchflow.plans.session import prepare_streaming
 from latchflow.plans.streams import Clock, run_to_end
 from latchflow.streaming import autoclose, boxcache, sinks
-from latchflow.streaming.gate import gate_stream, read_cooldowns, read_deadlines
+from latchflow.streaming.door import hold_stream, latest_frame_stream, open_frame_stream
+from latchflow.streaming.gate import committed, deadline_changes, deadline_history, gate_stream, read_cooldowns, read_deadlines
 from test_gate import crowded
 
 
@@ -203,3 +205,56 @@ def test_photos_sent_twice_are_kept_once(spark, tmp_path):
     sinks.write_photos(source, table, state, "1 minute", F.col("good")).awaitTermination()
     assert sorted(r.frame_id for r in spark.read.parquet(table).collect()) == [1, 2, 3, 5, 6, 7]
     assert [n for n in os.listdir(table) if n.startswith("session_key=")] == ["session_key=s1"]
+
+
+def test_holds_end_at_their_time_or_at_the_next_trigger(spark, tmp_path):
+    rows = shaken(crowded(9, 120, 0.3, traps=3, span=900), 9, 3)
+    judged = gate(spark.createDataFrame(rows, GATE_SCHEMA), WHOLE).where("ok").checkpoint()
+    fired = sorted(((r.trap_id, r.frame_id, r.det_idx, r.t_us, r.hold_until_us) for r in judged.collect()), key=lambda r: (r[3], r[1], r[2]))
+    schema = "trap_id long, frame_id long, det_idx long, t_us long, hold_until_us long"
+    names = ("in", "out", "state", "frames", "joined", "join")
+    folder, table, state, seen, joined, join = (str(tmp_path / n) for n in names)
+    write_parts(spark, shaken(fired, 9, 3), schema, folder, 4)
+    run_with_beat(spark, lambda beats: hold_stream(stream(spark, folder, schema), beats=beats), table, state)
+    found = sorted((r.trap_id, r.trigger_us, r.trigger_frame_id, r.hold_until_us, r.until_us) for r in spark.read.parquet(table).collect())
+    want = []
+    for trap in range(3):
+        line = [r for r in fired if r[0] == trap]
+        for r, following in zip(line, [*line[1:], None]):
+            want.append((trap, r[3], r[1], r[4], min(r[4], following[3]) if following else r[4]))
+    assert found == sorted(want)
+    # the join of two streams equals the batch look-up
+    frames = [(t % 3, i, t * 250_000) for i, t in enumerate(range(0, 1900))]
+    write_parts(spark, shaken(frames, 9, 2), "trap_id, frame_id, t_us", seen, 5)
+    held = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table).where("NOT late")
+    run(open_frame_stream(stream(spark, seen, "trap_id long, frame_id long, t_us long"), held, 2.0, "1 hour"), joined, join)
+    batch = open_frames(spark.createDataFrame(frames, "trap_id long, frame_id long, t_us long"), judged, WHOLE)
+    assert sorted(map(tuple, spark.read.parquet(joined).collect())) == sorted(map(tuple, batch.select(*spark.read.parquet(joined).columns).collect()))
+
+
+def test_latest_frames_of_polls_and_their_state(spark, tmp_path):
+    schema = "trap_id long, frame_id long, t_us long"
+    rows = [(i % 2, i, i * 700_000) for i in range(90)]
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_parts(spark, shaken(rows, 9, 2), schema, folder, 4)
+    run_with_beat(spark, lambda beats: latest_frame_stream(stream(spark, folder, schema), 2.5, beats=beats), table, state)
+    batch = latest_frames(spark.createDataFrame(rows, schema), 2_500_000)
+    columns = ["trap_id", "poll", "frame_id", "t_us"]
+    assert sorted(map(tuple, spark.read.parquet(table).select(*columns).collect())) == sorted(map(tuple, batch.select(*columns).collect()))
+    assert spark.read.format("statestore").load(state).count() == 0
+
+
+def test_state_of_earlier_batches_and_its_changes(spark, tmp_path):
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(1, i, 0, i * 20 * S, "fox", S, 5 * S, False) for i in range(1, 5)]
+    write_parts(spark, rows, GATE_SCHEMA, folder, 4)
+    run(gate_stream(stream(spark, folder, GATE_SCHEMA)), table, state)
+    history = {}
+    for r in deadline_history(spark, state).collect():
+        history.setdefault(r.batch_id, []).append((r.trap_id, r.last_us))
+    # a row is judged when the watermark has passed it, ten seconds behind the newest one
+    assert committed(spark, state)[-1] in history and len(history) >= 3
+    times = [history[b][0][1] for b in sorted(history)]
+    assert times == sorted(times) and times[-1] == 60 * S and set(times) <= {20 * S, 40 * S, 60 * S}
+    changes = [(r.change_type, r.trap_id, r.last_us) for r in deadline_changes(spark, state).orderBy("batch_id").collect()]
+    assert [c for c in changes if c[0] == "update"] == changes and {c[2] for c in changes} == {20 * S, 40 * S, 60 * S}
