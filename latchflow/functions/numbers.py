@@ -5,8 +5,14 @@ from pyspark.sql import functions as F
 
 
 def t_us(ts: Column) -> Column:
-    """Event time as microseconds; casting first also accepts zone-less timestamps."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Event time as microseconds; a timestamp without a zone counts as UTC, whatever the session's zone.
+
+    The type is known when the plan is made, so only one of the branches is left in it.
+    """
+    since = ts.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    seconds = since.cast("interval second").cast("decimal(20,6)")
+    wall = (seconds * F.lit(1_000_000)).cast("long")
+    return F.when(F.typeof(ts) == "timestamp_ntz", wall).otherwise(F.unix_micros(ts.cast("timestamp")))
 
 
 def whole_div(a: Column, b: Column) -> Column:

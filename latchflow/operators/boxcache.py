@@ -16,28 +16,30 @@ def cached_boxes(
 ) -> DataFrame:
     """Boxes of the latest strictly earlier non-empty set, per frame, up to ``ttl_s`` old inclusive.
 
-    Frames and sets share one time line; only the set's identity is carried along it, and the
-    boxes themselves are joined back by that identity.
+    Frames and sets share one time line, on which a set travels with its boxes as one array, so that
+    nothing is read or joined a second time.
     """
-    sets = boxes.groupBy("trap_id", "frame_id").agg(F.min("t_us").alias("t_us"))
-    identity = F.struct(F.col("t_us").alias("set_t_us"), F.col("frame_id").alias("set_frame_id"))
+    payload = [c for c in boxes.columns if c not in ("trap_id", "frame_id", "t_us")]
+    sets = boxes.groupBy("trap_id", "frame_id").agg(
+        F.min("t_us").alias("t_us"), F.collect_list(F.struct(*payload)).alias("_boxes")
+    )
     # At equal times a frame comes before a set, so it does not see it.
     marks = frames.select("trap_id", "t_us", "frame_id", F.lit(0).alias("kind")).unionByName(
-        sets.select("trap_id", "t_us", "frame_id", F.lit(1).alias("kind"))
+        sets.select("trap_id", "t_us", "frame_id", F.lit(1).alias("kind"), "_boxes"), allowMissingColumns=True
     )
+    kept = F.struct(F.col("t_us").alias("set_t_us"), F.col("frame_id").alias("set_frame_id"), F.col("_boxes").alias("boxes"))
     found = last_before(
         marks,
         ["trap_id"],
         ["t_us", "kind", "frame_id"],
-        {"latest": F.when(F.col("kind") == 1, identity)},
+        {"latest": F.when(F.col("kind") == 1, kept)},
         layout,
     )
-    shown = found.where(
+    return found.where(
         (F.col("kind") == 0) & (F.col("t_us") - F.col("latest.set_t_us") <= micros(ttl_s))
-    ).select("trap_id", "frame_id", "t_us", "latest.set_frame_id", "latest.set_t_us")
-    payload = [c for c in boxes.columns if c not in ("trap_id", "frame_id", "t_us")]
-    stored = boxes.select("trap_id", F.col("frame_id").alias("set_frame_id"), *payload)
-    return shown.join(stored, ["trap_id", "set_frame_id"])
+    ).select(
+        "trap_id", "latest.set_frame_id", "frame_id", "t_us", "latest.set_t_us", F.explode("latest.boxes").alias("_b")
+    ).select("trap_id", "set_frame_id", "frame_id", "t_us", "set_t_us", "_b.*")
 
 
 def overlay(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from latchflow.functions.boxes import annotation, crop
 from latchflow.functions.labels import cooldown_key, label_slug
-from latchflow.functions.numbers import fixed2, shortest
+from latchflow.functions.numbers import fixed2, shortest, t_us
 
 
 def test_labels(spark):
@@ -56,3 +56,17 @@ def test_annotation(spark):
     cells = [F.col(c) for c in ("label", "conf", "moved", "x1", "y1")]
     got = [tuple(r[0]) for r in df.select(annotation(*cells)).collect()]
     assert got == [("fox 0.61 [TRIG]", 0, 255, 0, 5, 0), ("fox 0.50", 0, 128, 255, 7, 44)]
+
+
+def test_times_without_a_zone_do_not_follow_the_session(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    rows = spark.createDataFrame([("2024-03-10 02:30:00.123456",), ("1969-12-31 23:59:59.999999",), ("2024-11-03 01:30:00",), (None,)], "s string")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r[0] for r in rows.select(t_us(F.col("s").cast("timestamp_ntz"))).collect()]
+            assert got == [1_710_037_800_123_456, -1, 1_730_597_400_000_000, None]
+            zoned = rows.limit(1).select(t_us(F.timestamp_micros(F.lit(77).cast("long")))).collect()
+            assert zoned[0][0] == 77
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
