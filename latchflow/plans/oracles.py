@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from latchflow.plans import fleet
 
 K = "CAST(regexp_extract(props, '[0-9]+') AS INTEGER)"
@@ -41,7 +43,7 @@ cand AS (
   FROM pdet WHERE (eligible OR force) AND NOT ({lost}))"""
 
 
-def gate(forced: bool = False, lost: str = "FALSE", at: tuple[str, str] = ("epoch_us(ts)", "event_id")) -> str:
+def gate(forced: bool = False, lost: str = "FALSE", at: tuple[str, str] = ("epoch_us(ts)", "event_id"), source: str = "") -> str:
     ready = " ".join(f"WHEN '{n}' THEN g.cd_{n}" for n in LABELS)
     start = ", ".join(
         f"CASE WHEN label = '{n}' THEN t_us + cd_us END AS cd_{n}" for n in LABELS
@@ -51,7 +53,7 @@ def gate(forced: bool = False, lost: str = "FALSE", at: tuple[str, str] = ("epoc
         f"CASE WHEN reason = 'ok' AND label = '{n}' THEN t_us + cd_us ELSE cd_{n} END" for n in LABELS
     )
     return f"""
-WITH RECURSIVE {det(forced, lost, at)},
+WITH RECURSIVE {source or det(forced, lost, at)},
 g AS (
   SELECT trap_id, rn, 'first_trigger' AS reason, CAST(0 AS BIGINT) AS species_left_us,
          CAST(0 AS BIGINT) AS busy_left_us, t_us + open_us + {INTER_US} AS busy, {start}
@@ -176,9 +178,9 @@ resolved AS (
   LEFT JOIN cfg d ON d.key = replace(s.slug, '_', '-'))"""
 
 
-def throttle(source: str, keep: str, start: str = "TRUE") -> str:
-    """Step through numbered rows; ``keep`` compares ``c.t_us`` with ``h.last``."""
-    return f"""
+def throttle(source: str, keep: str, start: str = "TRUE", tag: str = "") -> str:
+    """Step through numbered rows; ``keep`` compares ``c.t_us`` with ``h.last``. ``tag`` tells two of them apart."""
+    text = f"""
 num AS (SELECT *, row_number() OVER (PARTITION BY trap_id ORDER BY t_us, frame_id) AS step FROM {source}),
 h AS (
   SELECT trap_id, step, t_us AS last, {start} AS kept FROM num WHERE step = 1
@@ -186,6 +188,7 @@ h AS (
   SELECT c.trap_id, c.step, CASE WHEN {keep} THEN c.t_us ELSE h.last END, {keep}
   FROM h JOIN num c ON c.trap_id = h.trap_id AND c.step = h.step + 1),
 thrown AS (SELECT num.* FROM num JOIN h USING (trap_id, step) WHERE kept)"""
+    return re.sub(r"\b(num|h|thrown)\b", rf"\1{tag}", text) if tag else text
 
 
 FPS_CAP = "(c.t_us - h.last) * CAST(0.001 AS DOUBLE) >= 1000000"
@@ -205,6 +208,18 @@ cached AS (
   JOIN boxes b ON b.trap_id = s.trap_id AND b.frame_id = s.set_frame_id
   WHERE f.t_us - s.set_t_us <= 7200000000)"""
 
+# Boxes of every second frame within the rate cap, with the literal defaults for labels without a policy.
+CAMERA = f"""{FRAMES}, {BOXES}, {throttle("frames", FPS_CAP, tag="_f")},
+idx AS (SELECT trap_id, frame_id, row_number() OVER (PARTITION BY trap_id ORDER BY t_us, frame_id) AS frame_idx FROM thrown_f),
+pol(label, open_us, cd_us, min_conf) AS (VALUES {POLICY_ROWS}),
+cand AS (
+  SELECT *, row_number() OVER (PARTITION BY trap_id ORDER BY t_us, frame_id, det_idx) AS rn
+  FROM (SELECT boxes.*, 640 AS width, 480 AS height, FALSE AS force, coalesce(open_us, 1500000) AS open_us, coalesce(cd_us, 8000000) AS cd_us,
+               coalesce(min_conf, CAST(0.1 AS DOUBLE)) AS min_conf
+        FROM boxes JOIN idx USING (trap_id, frame_id) LEFT JOIN pol USING (label)
+        WHERE frame_idx % 2 = 0 AND conf >= CAST(0.1 AS DOUBLE))
+  WHERE open_us > 0 AND conf >= min_conf)"""
+
 DECIDED = """
 decided AS (
   SELECT trap_id, frame_id, det_idx, label, CASE WHEN ok THEN 'triggered' ELSE reason END AS decision,
@@ -489,6 +504,13 @@ def build() -> dict[str, str]:
             SELECT * FROM species JOIN busy USING (trap_id) JOIN trap USING (trap_id)""",
         "box_ttl_stream": f"""WITH {FRAMES}, {BOXES}, {CACHED}
             SELECT trap_id, frame_id, set_frame_id, set_t_us, det_idx, label, x1, y1 FROM cached""",
+        "trap_pipeline": f"""{gate(source=CAMERA)}, {LINES},
+            blocked AS (SELECT * FROM lines WHERE level = 'debug'), {throttle("blocked", f"c.t_us - h.last >= {INTER_US}", tag="_b")}
+            SELECT 'log' AS kind, {ident}, t_us, line AS text FROM lines WHERE level = 'key'
+            UNION ALL SELECT 'log', {ident}, t_us, line FROM thrown_b
+            UNION ALL SELECT 'event', {ident}, t_us, label FROM fired
+            UNION ALL SELECT 'photo', {ident}, t_us, label FROM fired
+            UNION ALL SELECT 'count', NULL, NULL, NULL, count(*), label FROM fired GROUP BY label""",
         "gate_multibox": f"{gate(at=DAY)} SELECT {VERDICT} FROM judged",
         "door_open_stream": f"""{gate()} SELECT f.trap_id, f.frame_id, f.t_us, g.t_us AS trigger_us,
             g.frame_id AS trigger_frame_id, g.hold_until_us

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latchflow.functions.boxes import crop
 from latchflow.functions.labels import cooldown_key, label_slug
 from latchflow.functions.numbers import t_us
-from latchflow.operators import boxcache, detect, door, metrics, policy, render, thinning
+from latchflow.operators import boxcache, controller, detect, door, metrics, policy, render, thinning
 from latchflow.operators.gate import candidates, decisions, gate
 from latchflow.operators.slices import measure
 from latchflow.operators.suppress import suppress
@@ -315,6 +315,28 @@ def gate_decisions(spark, sf_dir):
     return fleet.judged(spark, sf_dir)[0].select(*VERDICT)
 
 
+@query
+def trap_pipeline(spark, sf_dir):
+    """The whole controller over the cameras: what its run leaves in the log and in the tables of its sinks."""
+    controls = controller.Controls(
+        fleet.GLOBAL_CONF, 0.0, 2, fleet.MIN_INTER_S, fleet.BLOCK_LOG_S, 10 * fleet.HOUR_S, quiet=False)
+    frames, results = fleet.frames(spark, sf_dir).drop("frame_ts", "ok"), fleet.results(spark, sf_dir)
+    outcome = controller.control(frames, results, fleet.fleet_settings(spark), fleet.NAMES, controls)
+    path = fresh_dir(spark, "run")
+    for _ in range(2):  # a run that is repeated leaves one copy
+        controller.store(outcome, path, "run-1", controls)
+
+    def rows(kind, table, text, t):
+        known = [F.col(c) if c in table.columns else F.lit(None).cast("long").alias(c) for c in ID]
+        return table.select(F.lit(kind).alias("kind"), *known, t.alias("t_us"), F.col(text).alias("text"))
+
+    log = spark.read.parquet(f"{path}/log").where("line NOT LIKE '[FPS]%'")
+    found = rows("log", log, "line", F.col("t_us"))
+    for kind, t in (("event", t_us(F.col("ts"))), ("photo", F.col("t_us")), ("count", F.col("n"))):
+        found = found.unionByName(rows(kind, sinks.read_run_table(spark, path, f"{kind}s"), "species", t))
+    return found
+
+
 @query
 def gate_multibox(spark, sf_dir):
     """Several boxes a frame: a trap's events of one day are the boxes of one frame."""
