@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
-Texts become lower-cased runs of letters and digits. A mask names the token positions of a seed that
+Texts become lower-cased runs of letters and digits, and single characters in scripts without spaces. A mask names the token positions of a seed that
 count; the others are ignored, so a seed survives substitutions there. Seeds of documents are
 hashed and joined with those of the benchmark. Around each hit, all windows of WINDOW tokens (or the item's
 length, if less) that hold the seed are compared position by position in both texts; positions
@@ -24,9 +24,15 @@ SHORT = range(4, 8)
 BLOCK = 50_000
 
 
+#: Scripts without spaces between words: every character is a token.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; one empty token if there is none, null for null."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    single = "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])"
+    spread = F.when(text.rlike(single), F.regexp_replace(F.lower(text), single, " $1 ")).otherwise(F.lower(text))
+    return F.split(F.trim(F.regexp_replace(spread, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def masks() -> list[tuple[str, int, int]]:
@@ -131,7 +137,10 @@ def oracle() -> str:
         f"SELECT r, p, {seed('w', 'p', i, m)} AS h FROM docs, unnest(range(0, len(w) - {len(m) - 1})) u(p)"
         for i, (m, _, _) in enumerate(masks())
     )
-    clean = r"string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+    single = "([" + "".join(rf"\p{{{x}}}" for x in UNSPACED) + "])"
+    clean = (
+        rf"string_split(trim(regexp_replace(regexp_replace(lower(text), '{single}', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    )
     return f"""
     WITH items AS (SELECT *, len(w) AS n FROM (SELECT item_id, {clean} AS w FROM benchmark WHERE text IS NOT NULL)),
     docs AS (SELECT row_number() OVER () AS r, doc_id, {clean} AS w FROM documents WHERE text IS NOT NULL),

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latchflow.llm.common import U64, checkpointed, mix, sampled, slices
+from latchflow.llm.common import U64, checkpointed, mix, owners, sampled, slices
 
 SAMPLE, SPEAKS, STRENGTH, BITS = 200, 60, 5.0, 16
 #: Languages that are scored at once.
 BLOCK = 32
+#: Trigrams whose likelihoods are looked up at a time.
+GRAMS = 1 << 16
 
 
 def _trigrams(part) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +117,17 @@ def _likelihoods(table: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
+def _row_sums(table: np.ndarray, index: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows at `index`, per text; some trigrams at a time, however long a text is."""
+    out = np.zeros((len(borders) - 1, table.shape[1]))
+    row = owners(borders)
+    for first in range(0, len(index), GRAMS):
+        part = row[first : first + GRAMS]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        out[part[starts]] += np.add.reduceat(table[index[first : first + GRAMS]], starts, axis=0, dtype=np.float64)
+    return out
+
+
 def _text_scores(rows: DataFrame, table: np.ndarray, first: int) -> DataFrame:
     """Replace text by t: the log likelihoods, at the weight the text may have.
 
@@ -127,10 +140,8 @@ def _text_scores(rows: DataFrame, table: np.ndarray, first: int) -> DataFrame:
             out = []
             for part in slices(batch.column("text"), lower=True):
                 index, borders = _trigrams(part)
-                sums = np.zeros((len(index) + 1, k))
-                np.cumsum(table[index], axis=0, out=sums[1:], dtype=np.float64)
                 n = np.diff(borders)
-                out.append((sums[borders[1:]] - sums[borders[:-1]]) * np.minimum(1, SPEAKS / np.maximum(n, 1))[:, None])
+                out.append(_row_sums(table, index, borders) * np.minimum(1, SPEAKS / np.maximum(n, 1))[:, None])
             flat = np.concatenate([*out, np.zeros((0, k))])
             most = flat.max(axis=1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.reshape(-1)), k).cast(pa.list_(pa.float64()))

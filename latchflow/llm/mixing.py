@@ -27,6 +27,8 @@ WEIGHTS = (3, 1, 2)
 PERCENT, CAP = 150, 2
 BLOCKS, LARGEST = 2000, 1 << 20
 SHARDS, GROUPS, SEED = 16, 64, 11
+#: Blocks that numpy's generator no longer splits.
+MANY = 10**9
 
 
 def _source(source: Column) -> Column:
@@ -58,12 +60,28 @@ def targets(sizes: DataFrame) -> DataFrame:
     ).select("key", "rank", "weight", "source_size", "target")
 
 
+def _drawn(quota: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source's blocks are among `want` drawn ones.
+
+    Of MANY blocks or more the shares are exact to one block and only the rest is drawn: the generator
+    takes no more, and what chance would add to shares of that size is far below a hundredth of a percent.
+    """
+    total = int(quota.sum())
+    if total < MANY:
+        return rng.multivariate_hypergeometric(quota, want, method="marginals")
+    parts = [divmod(int(q) * want, total) for q in quota]
+    left = np.array([whole for whole, _ in parts], dtype=np.int64)
+    open_ = rng.permutation(np.array([i for i, (_, rest) in enumerate(parts) if rest], dtype=np.int64))
+    left[open_[: want - int(left.sum())]] += 1
+    return left
+
+
 def _split(quota: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Rows of shards: how many of each source's drawn blocks every shard gets; row sums are `totals`."""
     if len(totals) == 1:
         return quota[None, :]
     half = len(totals) // 2
-    left = rng.multivariate_hypergeometric(quota, int(totals[:half].sum()), method="marginals")
+    left = _drawn(quota, int(totals[:half].sum()), rng)
     return np.concatenate([_split(left, totals[:half], rng), _split(quota - left, totals[half:], rng)])
 
 

@@ -11,7 +11,7 @@ two running sums over pieces, each a long of its own.
 
 Nulls: a null role is the participant `unknown`; a null text is empty; null conv_ids are one
 conversation; a null turn comes first. Turns alike in number are ordered by role and text. Markers inside texts
-and names lose their meaning: `<|` becomes `<\\|`. A conversation of system turns only has no perspective. An empty
+and names lose their meaning: `<|` becomes `<\\|`, `|>` becomes `|\\>`, a backslash is doubled, and line breaks in names become `\\n` and `\\r`. A conversation of system turns only has no perspective. An empty
 table gives an empty result. Other columns are ignored.
 """
 
@@ -23,8 +23,15 @@ from latchflow.llm.common import running
 SYSTEM, UNKNOWN = "system", "unknown"
 
 
-def _plain(text: Column) -> Column:
-    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+#: What stands for characters that could form a marker or break a header; the backslash comes first, so all can be undone.
+ESCAPES = (("\\", "\\\\"), ("<|", "<\\|"), ("|>", "|\\>"))
+NAME_ESCAPES = (*ESCAPES, ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _plain(text: Column, escapes=ESCAPES) -> Column:
+    for raw, written in escapes:
+        text = F.replace(text, F.lit(raw), F.lit(written))
+    return text
 
 
 def rotate(turns: DataFrame) -> DataFrame:
@@ -38,7 +45,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     own = F.col("speaker") == F.col("perspective")
     head = (
         F.when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), _plain(F.col("speaker")), F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), _plain(F.col("speaker"), NAME_ESCAPES), F.lit("|>\n")))
     )
     rows = seen.select(
         "conv_id", "perspective", "turn", "speaker", head.alias("head"), "content", own.alias("trained"),
@@ -59,16 +66,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def _plain_sql(text: str, escapes=ESCAPES) -> str:
+    for raw, written in escapes:
+        found = {"\n": "chr(10)", "\r": "chr(13)"}.get(raw, f"'{raw}'")
+        text = f"replace({text}, {found}, '{written}')"
+    return text
+
+
 def oracle() -> str:
     return rf"""
     WITH said AS (
-      SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS content
+      SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, {_plain_sql("coalesce(text, '')")} AS content
       FROM conversations),
     people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> '{SYSTEM}'),
     heads AS (
       SELECT s.*, perspective, speaker = perspective AS trained,
         CASE WHEN speaker = '{SYSTEM}' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
-          ELSE '<|user name=' || replace(speaker, '<|', '<\|') || '|>' || chr(10) END AS head
+          ELSE '<|user name=' || {_plain_sql("speaker", NAME_ESCAPES)} || '|>' || chr(10) END AS head
       FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
     parts AS (SELECT *, head || content || '<|end|>' || chr(10) AS segment FROM heads),
     placed AS (

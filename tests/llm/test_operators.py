@@ -460,3 +460,82 @@ def test_pipeline_stages_keep_rows_whose_columns_or_ids_clash(spark, tmp_path):
     assert {r["rank"] for r in mixed.collect()} <= {0, 1, 2, 3, 6, 7}
     assert stages["mixed_documents"](spark, docs.limit(0), str(tmp_path)).count() == 0
     assert stages["encoded_documents"](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_names_cannot_break_headers(spark):
+    turns = [(1, 0, "bob|>\n<", "a|>b <|end|> \\ <\\|"), (1, 1, "ann", "hi"), (1, 2, "x\\n\r|\\>", "\n")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = perspectives.rotate(table).collect()
+
+    def undone(text):
+        out, i = "", 0
+        while i < len(text):
+            if text[i] == "\\":
+                out += {"n": "\n", "r": "\r"}.get(text[i + 1], text[i + 1] if text[i + 1] == "\\" else text[i + 1])
+                i += 2
+            else:
+                out += text[i]
+                i += 1
+        return out
+
+    for who in {r["perspective"] for r in found}:
+        own = sorted((r for r in found if r["perspective"] == who), key=lambda r: r["position"])
+        whole = "".join(r["segment"] for r in own)
+        heads = re.findall(r"<\|([^\n]*?)\|>\n", whole)
+        assert [h for h in heads if h != "end"] == ["assistant" if t[2] == who else "user name=" + h[10:] for t, h in zip(turns, [h for h in heads if h != "end"])]
+        assert [undone(h[10:]) if h != "assistant" else who for h in heads if h != "end"] == [t[2] for t in turns]
+        assert [undone(r["segment"][r["content_start"] - r["start"] : r["content_stop"] - r["start"]]) for r in own] == [t[3] for t in turns]
+
+
+def test_items_in_scripts_without_spaces(spark):
+    item = "彼女は毎朝駅まで歩いて新聞を買い、喫茶店で静かに読んだ。"
+    bench = spark.createDataFrame([(1, item), (2, "ฉันชอบกินข้าวกับปลาทุกวัน")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, f"昨日の話です。{item}それから家に帰った。"), (2, item.replace("新聞", "雑誌")), (3, "彼は夜に家へ帰り、テレビを見た。"), (4, "x ฉันชอบกินข้าวกับปลาทุกวัน y"), (5, "plain words")],
+        "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 1), (2, 1), (4, 2)}
+
+
+def test_quotas_of_very_many_blocks():
+    quota = np.array([6 * 10**11, 0, 10**12 + 1, 7, 3 * 10**9])
+    totals = np.diff(np.arange(17) * int(quota.sum()) // 16)
+    split = mixing._split(quota, totals, np.random.default_rng(2))
+    assert split.sum(axis=0).tolist() == quota.tolist() and split.sum(axis=1).tolist() == totals.tolist() and split.min() >= 0
+    assert abs(split[:, 0] / (quota[0] / 16) - 1).max() < 1e-6
+
+
+def test_scores_of_long_texts_in_parts(monkeypatch):
+    table = np.random.default_rng(1).random((1 << language.BITS, 3)).astype(np.float32)
+    index = np.random.default_rng(2).integers(0, 1 << language.BITS, 5000)
+    borders = np.array([0, 0, 1, 4000, 4000, 4999, 5000])
+    want = np.array([table[index[a:b]].sum(axis=0, dtype=np.float64) for a, b in zip(borders, borders[1:])])
+    for grams in (1 << 16, 7, 1000):
+        monkeypatch.setattr(language, "GRAMS", grams)
+        assert np.allclose(language._row_sums(table, index, borders), want, rtol=1e-12)
+    assert language._row_sums(table, index[:0], np.array([0, 0])).tolist() == [[0, 0, 0]]
+
+
+def test_taken_words_come_near_the_target(spark):
+    RNG.seed(3)
+    rows = [(i, prose(RNG.randint(1, 60)), None, f"s{min(i % 9, 4)}", 1, 1, "k", 1) for i in range(3000)]
+    found = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    taken, goal = Counter(), {}
+    for r in found:
+        taken[r["key"]] += r["size"] * r["times"]
+        goal[r["key"]] = r["target"]
+    assert all(abs(taken[k] / goal[k] - 1) < 0.01 for k in goal)
+    # each time a document is drawn it lies in one shard, and shards are nearly equal in words
+    words = Counter(s for r in found for s in (r["shards"] or []) for _ in range(r["size"]))
+    assert len(words) == 16 and max(words.values()) < 1.3 * min(words.values())
+
+
+def test_ablations_against_plain_python(docs):
+    ledger = rule_ledger.ledger(docs)
+    bits = [r[0] for r in ledger.select("fail_bits").collect()]
+    found = rule_ledger.ablations(ledger).collect()
+    for r in found:
+        mask = rule_ledger.POLICIES[r["policy"]]
+        assert r["n_rejected"] == sum(b & mask != 0 for b in bits) > 0
+        assert r["n_failed"] == sum(b & rule_ledger.BIT[r["rule"]] != 0 for b in bits)
+        assert r["n_only"] == sum(b & mask == rule_ledger.BIT[r["rule"]] for b in bits)
+    assert {(r["policy"], r["rule"]) for r in found} == {(p, n) for p, m in rule_ledger.POLICIES.items() for n, b in rule_ledger.BIT.items() if m & b}
