@@ -22,12 +22,9 @@ def _overlap(a: Column, b: Column, limit: Fraction) -> Column:
         shared = F.least(a[high], b[high]).cast("long") - F.greatest(a[low], b[low])
         return F.greatest(shared, F.lit(0).cast("long"))
 
-    def area(box: Column) -> Column:
-        return (box["x2"].cast("long") - box["x1"]) * (box["y2"].cast("long") - box["y1"])
-
     shared = side("x1", "x2") * side("y1", "y2")
     # shared / (a + b - shared) > limit
-    return shared * F.lit(limit.denominator) > (area(a) + area(b) - shared) * F.lit(limit.numerator)
+    return shared * F.lit(limit.denominator + limit.numerator) > (a["area"] + b["area"]) * F.lit(limit.numerator)
 
 
 def suppress(boxes: DataFrame, limit: float = IOU_LIMIT, together: int = TOGETHER) -> DataFrame:
@@ -44,13 +41,18 @@ def suppress(boxes: DataFrame, limit: float = IOU_LIMIT, together: int = TOGETHE
     rest = [c for c in boxes.columns if c not in (*IMAGE, *CORNERS, "conf", "det_idx")]
     best = F.min(F.struct((-F.col("conf")).alias("rank"), "det_idx", "conf", *rest))
     distinct = boxes.where(~flat).groupBy(*IMAGE, *CORNERS).agg(best.alias("_b"))
+    area = (F.col("x2").cast("long") - F.col("x1")) * (F.col("y2").cast("long") - F.col("y1"))
     # the order of boxes: best first, and no two alike
     ranked = distinct.select(
-        *IMAGE, F.struct(F.col("_b.rank").alias("rank"), F.col("_b.det_idx").alias("det_idx"), *CORNERS).alias("_box"), "_b"
+        *IMAGE, F.struct(F.col("_b.rank").alias("rank"), F.col("_b.det_idx").alias("det_idx"), *CORNERS, area.alias("area")).alias("_box"), "_b"
     )
-    sizes = ranked.groupBy(*IMAGE).agg(F.count(F.lit(1)).alias("_n"))
-    crowded = sizes.where(F.col("_n") > together).select(*IMAGE)
-    if crowded.isEmpty():
+
+    def above(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*IMAGE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > together).select(*IMAGE)
+
+    # copies only make an image look larger, and counting them along needs no shuffle of boxes
+    crowded = above(ranked)
+    if above(boxes.where(~flat)).isEmpty():
         kept = _folded(ranked, share)
     else:
         same = [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in IMAGE]
