@@ -19,8 +19,9 @@ END_OF_TIME = "2262-01-01 00:00:00"
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare_streaming(spark)
-    source = spark.readStream.schema(fleet.EVENTS).option("pathGlobFilter", "events.parquet")
-    return source.option("maxBytesPerTrigger", BATCH_BYTES).parquet(sf_dir)
+    # a pattern stands for a file and for a folder of files alike
+    source = spark.readStream.schema(fleet.EVENTS).option("maxBytesPerTrigger", BATCH_BYTES)
+    return source.parquet(f"{sf_dir}/events.parque[t]")
 
 
 class Clock:
