@@ -1,8 +1,9 @@
 """Token ids of documents in coded files: encode, write in ascending doc_id order, read back.
 
 Texts are encoded with a tokenizers vocabulary that never joins characters across white space; each
-distinct word of a slice is encoded once by the library, and words seen before come from a bounded store of
-the Python worker. Each document ends with END. Documents are ordered by range partitions; every
+distinct word of a slice is encoded once by the library, and words seen before come from a store of
+the Python worker, bounded in words and bytes. Each document ends with END. Documents are ordered by range partitions, whose
+borders are a doc_id and how a text begins, so that rows without a doc_id, or with the same one, spread over tasks; every
 partition holds frames of whole documents (see `mixing_coder`), in a table of (part, frame, n_ids, data)
 in the shared folder, written by Spark's committed writer. Reading decodes all frames and checks every block.
 
@@ -15,6 +16,7 @@ import os
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,10 @@ END = 1
 FRAME = 4_000_000
 #: Words that a Python worker remembers lately; it keeps as many earlier ones.
 STORE = 300_000
+#: Bytes of a word that is remembered; longer ones are encoded again in every slice.
+KEPT = 48
+#: Characters of a text that borders between partitions hold; inside partitions whole texts are ordered.
+BEGINS = 64
 
 
 def vocabulary() -> str:
@@ -76,16 +82,18 @@ def encoded(text: pa.Array, path: str):
         names, which = _distinct_words(part, starts, ends)
         if len(held.words) > STORE:
             held.older, held.words = held.words, {}
-        known = held.words
+        known, long = held.words, {}
+        new = []
         for w in names:
-            if w not in known and w in held.older:
-                known[w] = held.older[w]
-        new = [w for w in names if w not in known]
-        if new:
-            found = held.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
-                known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
-        blobs = [known[w] for w in names] + [np.array([END], dtype=np.uint32).tobytes()]
+            if w not in known:
+                if w in held.older:
+                    known[w] = held.older[w]
+                else:
+                    new.append(w)
+        found = held.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        for w, e in zip(new, found, strict=True):
+            (known if len(w) <= KEPT else long)[w] = array("I", e.ids).tobytes()
+        blobs = [known[w] if w in known else long[w] for w in names] + [array("I", [END]).tobytes()]
         sizes = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
         flat = np.frombuffer(b"".join(blobs), dtype=np.uint32)
         begin = np.cumsum(sizes) - sizes
@@ -135,7 +143,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        .repartitionByRange("doc_id", F.substring("text", 1, BEGINS)).sortWithinPartitions("doc_id", "text")
     )
     ordered.mapInArrow(tasks, "part long, frame long, n_ids long, data binary").write.parquet(folder)
 

@@ -255,6 +255,35 @@ def test_token_files(docs, rows, empty):
     assert token_files.encode(empty).count() == 0
 
 
+def test_token_files_of_rows_without_ids(spark):
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(token_files.vocabulary())
+    texts = sorted(prose(6) for _ in range(400))
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        found = token_files.encode(docs).orderBy("start").collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert len({r["part"] for r in found}) > 2
+    want, start = [], 0
+    for text in texts:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        want.append((None, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [tuple(r)[:4] for r in found] == want
+
+
+def test_long_words_are_not_remembered():
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(token_files.vocabulary())
+    words = ["ab" * n for n in (3, token_files.KEPT // 2, token_files.KEPT // 2 + 1, 50_000)]
+    for _ in range(2):
+        (ids, lengths), = token_files.encoded(pa.array([" ".join(words)]), token_files.vocabulary())
+        assert ids.tolist() == [*tokenizer.encode(" ".join(words), add_special_tokens=False).ids, 1] and lengths.tolist() == [len(ids)]
+    held = token_files._worker(token_files.vocabulary())
+    assert max(map(len, [*held.words, *held.older])) == token_files.KEPT
+
+
 def test_toxicity_on_held_out_documents(spark, docs, rows, empty):
     def made(i):
         words = prose(60).split(" ")
