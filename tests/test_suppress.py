@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from latchflow.operators.suppress import suppress
+from latchflow.operators.suppress import IMAGE, _same, suppress
 
 BOXES = "trap_id long, frame_id long, class_id int, det_idx long, conf double, x1 int, y1 int, x2 int, y2 int, note string"
 
@@ -74,3 +74,12 @@ def test_no_boxes_and_no_python(spark):
         assert "InArrow" not in plan and "EvalPython" not in plan
     with pytest.raises(ValueError):
         suppress(empty, 0.0)
+
+
+def test_peeled_boxes_are_never_broadcast(spark):
+    boxes = spark.createDataFrame([(1, None, 1, "a"), (2, 7, 1, "b")], "trap_id long, frame_id long, class_id int, note string")
+    for how, notes in (("inner", ["a", "b"]), ("left_semi", ["a", "b"]), ("left_anti", [])):
+        joined = _same(boxes, boxes.withColumnRenamed("note", "other"), IMAGE, how)
+        assert sorted(r.note for r in joined.collect()) == notes
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
