@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from latchflow.schema import DETECTION_ORDER
-from latchflow.streaming.ordered import DELAY, Ordered, with_beats
+from latchflow.streaming.ordered import DELAY, SENT, Ordered, chunks, received, sent, with_beats
 
-OUT = "trap_id long, trigger_us long, hold_until_us long, late boolean"
-NAMES = [part.split()[0] for part in OUT.split(", ")]
+SHAPE = T.StructType().add("trigger_us", "long").add("hold_until_us", "long").add("late", "boolean")
 
 
 class AutoClose(Ordered):
@@ -28,28 +28,34 @@ class AutoClose(Ordered):
         self.hold = handle.getValueState("hold", "trigger_us long, hold_until_us long")
 
     def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
-        pending = self.hold.get() if self.hold.exists() else None
-        closed = []
-        for t, _, _, until in rows:
-            if pending is not None and t >= pending[1]:
-                closed.append((key[0], *pending, False))
-            pending = (t, until)
+        pending = stored = self.hold.get()
+        for chunk in chunks(rows):
+            closed = []
+            for t, _, _, until in chunk:
+                if pending is not None and t >= pending[1]:
+                    closed.append((*pending, False))
+                pending = (t, until)
+            if closed:
+                yield self._frame(key, closed)
         if pending is not None and pending[1] <= mark_us:
-            closed.append((key[0], *pending, False))
+            yield self._frame(key, [(*pending, False)])
             pending = None
         if pending is not None:
             self.hold.update(pending)
             self.wake(pending[1])
-        else:
+        elif stored is not None:
             self.hold.clear()
-        yield pd.DataFrame(closed, columns=NAMES)
 
     def too_late(self, key, rows) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], t, until, True) for t, _, _, until in rows], columns=NAMES)
+        return self._frame(key, [(t, until, True) for t, _, _, until in rows])
+
+    def _frame(self, key, closed) -> pd.DataFrame:
+        return sent(key, dict(zip(SHAPE.names, map(list, zip(*closed)))))
 
 
 def auto_close_stream(fired: DataFrame, delay: str = DELAY, beats: DataFrame | None = None) -> DataFrame:
     """Close rows of a stream of triggers with an event time ``frame_ts``."""
     columns = ["trap_id", *AutoClose.kinds]
     marked = with_beats(fired.select("frame_ts", *columns), beats, delay)
-    return marked.select(*columns).groupBy("trap_id").transformWithStateInPandas(AutoClose(), OUT, "Append", "EventTime")
+    closed = marked.select(*columns).groupBy("trap_id").transformWithStateInPandas(AutoClose(), SENT, "Append", "EventTime")
+    return received(closed, SHAPE)

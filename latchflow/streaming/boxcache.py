@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from latchflow.schema import BOX_TTL_S, FRAME_ORDER, micros
-from latchflow.streaming.ordered import DELAY, Ordered, with_beats
+from latchflow.streaming.ordered import DELAY, Ordered, chunks, with_beats
 
 OUT = "trap_id long, frame_id long, t_us long, set_frame_id long, set_t_us long, boxes string, late boolean"
 NAMES = [part.split()[0] for part in OUT.split(", ")]
@@ -37,15 +37,18 @@ class BoxCache(Ordered):
 
     def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
         latest, before = (s.get() if s.exists() else None for s in (self.latest, self.before))
-        shown = []
-        for t, frame, boxes in rows:
-            seen = latest if latest is not None and latest[0] < t else before
-            if seen is not None and 0 < t - seen[0] <= self.ttl_us:
-                shown.append((key[0], frame, t, seen[1], seen[0], seen[2], False))
-            if boxes is not None:
-                if latest is not None and latest[0] < t:
-                    before = latest
-                latest = (t, frame, boxes)
+        for chunk in chunks(rows):
+            shown = []
+            for t, frame, boxes in chunk:
+                seen = latest if latest is not None and latest[0] < t else before
+                if seen is not None and 0 < t - seen[0] <= self.ttl_us:
+                    shown.append((key[0], frame, t, seen[1], seen[0], seen[2], False))
+                if boxes is not None:
+                    if latest is not None and latest[0] < t:
+                        before = latest
+                    latest = (t, frame, boxes)
+            if shown:
+                yield pd.DataFrame(shown, columns=NAMES)
         # frames to come are at the watermark or later
         for state, kept in ((self.latest, latest), (self.before, before)):
             if kept is not None and kept[0] + self.ttl_us >= mark_us:
@@ -53,7 +56,6 @@ class BoxCache(Ordered):
                 self.wake(kept[0] + self.ttl_us + 1)
             else:
                 state.clear()
-        yield pd.DataFrame(shown, columns=NAMES)
 
     def too_late(self, key, rows) -> pd.DataFrame:
         return pd.DataFrame([(key[0], frame, t, None, None, None, True) for t, frame, _ in rows], columns=NAMES).astype(

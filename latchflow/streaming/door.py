@@ -7,14 +7,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from latchflow.functions.numbers import whole_div
 from latchflow.schema import DETECTION_ORDER, micros
-from latchflow.streaming.ordered import DELAY, Ordered, with_beats
+from latchflow.streaming.ordered import DELAY, SENT, Ordered, chunks, received, sent, with_beats
 
 OUT = "trap_id long, trigger_us long, trigger_frame_id long, hold_until_us long, until_us long, late boolean"
-NAMES = [part.split()[0] for part in OUT.split(", ")]
+SHAPE = T.StructType()
+for part in OUT.split(", ")[1:]:
+    SHAPE.add(*part.split())
 
 
 class HoldEnds(Ordered):
@@ -27,33 +30,39 @@ class HoldEnds(Ordered):
         self.hold = handle.getValueState("hold", "trigger_us long, frame_id long, hold_until_us long")
 
     def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
-        pending = self.hold.get() if self.hold.exists() else None
-        ended = []
-        for t, frame, _, until in rows:
-            if pending is not None:
-                ended.append((key[0], *pending, min(pending[2], t), False))
-            pending = (t, frame, until)
+        pending = stored = self.hold.get()
+        for chunk in chunks(rows):
+            ended = []
+            for t, frame, _, until in chunk:
+                if pending is not None:
+                    ended.append((*pending, min(pending[2], t), False))
+                pending = (t, frame, until)
+            if ended:
+                yield self._frame(key, ended)
         if pending is not None and pending[2] <= mark_us:
-            ended.append((key[0], *pending, pending[2], False))
+            yield self._frame(key, [(*pending, pending[2], False)])
             pending = None
         if pending is not None:
             self.hold.update(pending)
             self.wake(pending[2])
-        else:
+        elif stored is not None:
             self.hold.clear()
-        yield pd.DataFrame(ended, columns=NAMES)
 
     def too_late(self, key, rows) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], t, frame, until, t, True) for t, frame, _, until in rows], columns=NAMES)
+        return self._frame(key, [(t, frame, until, t, True) for t, frame, _, until in rows])
+
+    def _frame(self, key, ended) -> pd.DataFrame:
+        return sent(key, dict(zip(SHAPE.names, map(list, zip(*ended)))))
 
 
 def hold_stream(fired: DataFrame, delay: str = DELAY, beats: DataFrame | None = None) -> DataFrame:
     """Triggers with the time until which their hold stood; a late one stood for no time."""
     columns = ["trap_id", *HoldEnds.kinds]
     timed = fired.select(*columns, F.timestamp_micros("t_us").alias("frame_ts"))
-    return with_beats(timed, beats, delay).select(*columns).groupBy("trap_id").transformWithStateInPandas(
-        HoldEnds(), OUT, "Append", "EventTime"
+    ended = with_beats(timed, beats, delay).select(*columns).groupBy("trap_id").transformWithStateInPandas(
+        HoldEnds(), SENT, "Append", "EventTime"
     )
+    return received(ended, SHAPE)
 
 
 def open_frame_stream(frames: DataFrame, holds: DataFrame, longest_s: float, delay: str = DELAY) -> DataFrame:

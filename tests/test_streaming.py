@@ -12,9 +12,11 @@ from latchflow.operators.door import open_frames, unsuperseded
 from latchflow.operators.gate import gate
 from latchflow.operators.metrics import latest_frames
 from latchflow.plans.session import prepare_streaming
+from latchflow.plans import streams
 from latchflow.plans.streams import Clock, run_to_end
 from latchflow.streaming import autoclose, boxcache, sinks
 from latchflow.streaming.door import hold_stream, latest_frame_stream, open_frame_stream
+from latchflow.streaming import ordered
 from latchflow.streaming.gate import committed, deadline_changes, deadline_history, gate_stream, read_cooldowns, read_deadlines
 from test_gate import crowded
 
@@ -258,3 +260,61 @@ def test_state_of_earlier_batches_and_its_changes(spark, tmp_path):
     assert times == sorted(times) and times[-1] == 60 * S and set(times) <= {20 * S, 40 * S, 60 * S}
     changes = [(r.change_type, r.trap_id, r.last_us) for r in deadline_changes(spark, state).orderBy("batch_id").collect()]
     assert [c for c in changes if c[0] == "update"] == changes and {c[2] for c in changes} == {20 * S, 40 * S, 60 * S}
+
+
+@pytest.fixture
+def many_files(spark, tmp_path, monkeypatch):
+    """Events of two traps whose tables get a file per task, and the folders that a query makes."""
+    start = "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id * 20)"
+    spark.range(60).selectExpr(
+        "id AS event_id", f"{start} AS ts", "id % 9 AS user_id", "'click' AS event_type", "90D AS value", "'{\"k\": 1}' AS props"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    made, fresh = {}, streams.fresh_dir
+    monkeypatch.setattr(streams, "fresh_dir", lambda session, name: made.setdefault(name, fresh(session, name)))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield str(tmp_path), made
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_batches_of_the_counter_do_not_grow_with_files(spark, many_files):
+    folder, made = many_files
+    found = streams.counter(spark, folder).collect()
+    assert sum(r.n for r in found) == spark.read.parquet(made["gate"]).where("ok").count() > 9
+    assert 1 < len(committed(spark, made["counter-state"])) <= streams.BATCHES + 1
+
+
+def test_batches_of_repeated_photos_do_not_grow_with_files(spark, many_files):
+    folder, made = many_files
+    found = streams.photos_once(spark, folder)
+    assert 2 * found.count() == spark.read.parquet(made["fired"]).count() > 18
+    assert 2 <= len(committed(spark, made["photos-state"])) <= 4
+
+
+def test_timers_of_a_trap_do_not_grow_with_its_species(spark, tmp_path):
+    """A trap whose cooldowns have all passed leaves no timer and no row of state but its deadlines."""
+    rows = [(1, i, 0, i * 40 * S, f"species-{i}", S, 20 * S, False) for i in range(30)]
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_parts(spark, rows, GATE_SCHEMA, folder, 1)
+    run(gate_stream(stream(spark, folder, GATE_SCHEMA)), table, state)
+    # the newest row waits; nothing of the others' cooldowns is left, nor a timer for each
+    assert stored(spark, state, "cooldowns").count() == 0
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(state)
+    assert timers.count() == 1 and spark.read.parquet(table).count() == 29
+
+
+@pytest.mark.parametrize("limit", [1, 4096])
+def test_due_rows_are_sorted_on_disk_and_waiting_ones_in_blocks(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "SORT_MB", limit)
+    rows = shaken([(1, i, i // 3 * S, [{"det_idx": 0, "label": "fox"}]) for i in range(2400)], 5000, 2)
+    schema = "trap_id long, frame_id long, t_us long, boxes array<struct<det_idx:long,label:string>>"
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_parts(spark, rows, "trap_id, frame_id, t_us, boxes", folder, 1)
+    run(boxcache.cached_box_stream(stream(spark, folder, schema), 1.0), table, state)
+    left = 2400 - spark.read.parquet(table).count() - 3
+    assert 0 < stored(spark, state, "waiting").count() < left
+    run_with_beat(spark, lambda beats: boxcache.cached_box_stream(stream(spark, folder, schema), 1.0, beats=beats), table + "2", state + "2")
+    got = sorted((r.frame_id, r.set_frame_id) for r in spark.read.parquet(table + "2").collect())
+    assert got == [(i, i // 3 * 3 - 1) for i in range(3, 2400)]
