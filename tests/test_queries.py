@@ -61,3 +61,14 @@ def test_slices_change_nothing(spark, duck, slice_rows, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["session_key", "species", "n"]
+
+
+def test_trap_log_lines_are_parsed_once(spark, tmp_path):
+    start = "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * id)"
+    spark.range(9).selectExpr(
+        "id AS event_id", f"{start} AS ts", "1L AS user_id", "IF(id < 4, 'click', 'view') AS event_type", "1D AS value", "'{\"k\": 1}' AS props"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    found = registry.QUERIES["traplog_summary"](spark, str(tmp_path))
+    rows = {(r.label, r.n, r.min_gap_us, r.max_gap_us) for r in found.collect()}
+    assert rows == {("click", 4, 1_000_000, 5_000_000), ("view", 5, 9_000_000, 15_000_000)}
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
