@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from latchflow.schema import DETECTION_ORDER
-from latchflow.streaming.ordered import DELAY, SENT, Ordered, chunks, received, sent, with_beats
+from latchflow.streaming.ordered import DELAY, Ordered, in_order, received, with_beats
 
-SHAPE = T.StructType().add("trigger_us", "long").add("hold_until_us", "long").add("late", "boolean")
+SHAPE = T.StructType().add("trap_id", "long").add("trigger_us", "long").add("hold_until_us", "long").add("late", "boolean")
 
 
 class AutoClose(Ordered):
@@ -23,39 +21,29 @@ class AutoClose(Ordered):
 
     kinds = {"t_us": "long", "frame_id": "long", "det_idx": "long", "hold_until_us": "long"}
     order = DETECTION_ORDER
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.hold = handle.getValueState("hold", "trigger_us long, hold_until_us long")
-
-    def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
-        pending = stored = self.hold.get()
-        for chunk in chunks(rows):
-            closed = []
-            for t, _, _, until in chunk:
-                if pending is not None and t >= pending[1]:
-                    closed.append((*pending, False))
-                pending = (t, until)
-            if closed:
-                yield self._frame(key, closed)
+    keeps = {"hold": "trigger_us long, hold_until_us long"}
+    names = SHAPE.names
+
+    def apply(self, trap, rows, mark_us, own) -> Iterator[tuple]:
+        pending = own["hold"]
+        for t, _, _, until, _ in rows:
+            if pending is not None and t >= pending[1]:
+                yield (trap, *pending, False)
+            pending = (t, until)
         if pending is not None and pending[1] <= mark_us:
-            yield self._frame(key, [(*pending, False)])
+            yield (trap, *pending, False)
             pending = None
-        if pending is not None:
-            self.hold.update(pending)
-            self.wake(pending[1])
-        elif stored is not None:
-            self.hold.clear()
+        own["hold"] = pending
 
-    def too_late(self, key, rows) -> pd.DataFrame:
-        return self._frame(key, [(t, until, True) for t, _, _, until in rows])
+    def wake(self, own) -> int | None:
+        return own["hold"] and own["hold"][1]
 
-    def _frame(self, key, closed) -> pd.DataFrame:
-        return sent(key, dict(zip(SHAPE.names, map(list, zip(*closed)))))
+    def too_late(self, rows) -> Iterator[tuple]:
+        return ((trap, t, until, True) for t, _, _, until, trap in rows)
 
 
 def auto_close_stream(fired: DataFrame, delay: str = DELAY, beats: DataFrame | None = None) -> DataFrame:
     """Close rows of a stream of triggers with an event time ``frame_ts``."""
     columns = ["trap_id", *AutoClose.kinds]
     marked = with_beats(fired.select("frame_ts", *columns), beats, delay)
-    closed = marked.select(*columns).groupBy("trap_id").transformWithStateInPandas(AutoClose(), SENT, "Append", "EventTime")
-    return received(closed, SHAPE)
+    return received(in_order(marked, AutoClose()), SHAPE)

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from latchflow.functions.numbers import whole_div
 from latchflow.schema import DETECTION_ORDER, micros
-from latchflow.streaming.ordered import DELAY, SENT, Ordered, chunks, received, sent, with_beats
+from latchflow.streaming.ordered import DELAY, Ordered, in_order, received, with_beats
 
 OUT = "trap_id long, trigger_us long, trigger_frame_id long, hold_until_us long, until_us long, late boolean"
 SHAPE = T.StructType()
-for part in OUT.split(", ")[1:]:
+for part in OUT.split(", "):
     SHAPE.add(*part.split())
 
 
@@ -25,44 +23,32 @@ class HoldEnds(Ordered):
 
     kinds = {"t_us": "long", "frame_id": "long", "det_idx": "long", "hold_until_us": "long"}
     order = DETECTION_ORDER
-
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.hold = handle.getValueState("hold", "trigger_us long, frame_id long, hold_until_us long")
-
-    def apply(self, key, rows, mark_us) -> Iterator[pd.DataFrame]:
-        pending = stored = self.hold.get()
-        for chunk in chunks(rows):
-            ended = []
-            for t, frame, _, until in chunk:
-                if pending is not None:
-                    ended.append((*pending, min(pending[2], t), False))
-                pending = (t, frame, until)
-            if ended:
-                yield self._frame(key, ended)
+    keeps = {"hold": "trigger_us long, frame_id long, hold_until_us long"}
+    names = SHAPE.names
+
+    def apply(self, trap, rows, mark_us, own) -> Iterator[tuple]:
+        pending = own["hold"]
+        for t, frame, _, until, _ in rows:
+            if pending is not None:
+                yield (trap, *pending, min(pending[2], t), False)
+            pending = (t, frame, until)
         if pending is not None and pending[2] <= mark_us:
-            yield self._frame(key, [(*pending, pending[2], False)])
+            yield (trap, *pending, pending[2], False)
             pending = None
-        if pending is not None:
-            self.hold.update(pending)
-            self.wake(pending[2])
-        elif stored is not None:
-            self.hold.clear()
+        own["hold"] = pending
 
-    def too_late(self, key, rows) -> pd.DataFrame:
-        return self._frame(key, [(t, frame, until, t, True) for t, frame, _, until in rows])
+    def wake(self, own) -> int | None:
+        return own["hold"] and own["hold"][2]
 
-    def _frame(self, key, ended) -> pd.DataFrame:
-        return sent(key, dict(zip(SHAPE.names, map(list, zip(*ended)))))
+    def too_late(self, rows) -> Iterator[tuple]:
+        return ((trap, t, frame, until, t, True) for t, frame, _, until, trap in rows)
 
 
 def hold_stream(fired: DataFrame, delay: str = DELAY, beats: DataFrame | None = None) -> DataFrame:
     """Triggers with the time until which their hold stood; a late one stood for no time."""
     columns = ["trap_id", *HoldEnds.kinds]
     timed = fired.select(*columns, F.timestamp_micros("t_us").alias("frame_ts"))
-    ended = with_beats(timed, beats, delay).select(*columns).groupBy("trap_id").transformWithStateInPandas(
-        HoldEnds(), SENT, "Append", "EventTime"
-    )
-    return received(ended, SHAPE)
+    return received(in_order(with_beats(timed, beats, delay), HoldEnds()), SHAPE)
 
 
 def open_frame_stream(frames: DataFrame, holds: DataFrame, longest_s: float, delay: str = DELAY) -> DataFrame:

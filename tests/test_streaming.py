@@ -318,3 +318,29 @@ def test_due_rows_are_sorted_on_disk_and_waiting_ones_in_blocks(spark, tmp_path,
     run_with_beat(spark, lambda beats: boxcache.cached_box_stream(stream(spark, folder, schema), 1.0, beats=beats), table + "2", state + "2")
     got = sorted((r.frame_id, r.set_frame_id) for r in spark.read.parquet(table + "2").collect())
     assert got == [(i, i // 3 * 3 - 1) for i in range(3, 2400)]
+
+
+def test_groups_of_traps_share_state_and_timers(spark, tmp_path):
+    """Many traps in few groups: verdicts as by trap, and calls by group, of which waiting rows and timers tell."""
+    rows = shaken(crowded(7, 900, 0.02, traps=45), 9, 3)
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_parts(spark, rows, GATE_SCHEMA, folder, 3)
+    run(gate_stream(stream(spark, folder, GATE_SCHEMA), groups=3), table, state)
+    waiting = stored(spark, state, "waiting").select("key.*").distinct().count()
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(state).select("key.*").distinct().count()
+    assert 0 < waiting <= 3 and 0 < timers <= 3
+    assert read_deadlines(spark, state).count() > 3 and read_cooldowns(spark, state).groupBy("trap_id").count().count() > 3
+    run_with_beat(spark, lambda beats: gate_stream(stream(spark, folder, GATE_SCHEMA), beats=beats, groups=3), table + "2", state + "2")
+    got = spark.read.parquet(table + "2")
+    assert verdicts_of(got) == verdicts_of(gate(spark.createDataFrame(rows, GATE_SCHEMA), WHOLE)) and got.count() == len(rows)
+
+
+def test_texts_and_nulls_pass_through_waiting_rows(spark, tmp_path):
+    schema = GATE_SCHEMA + ", note string"
+    notes = ['"', "\\", "a,b]", "\n\t", "é\U0001f600", "null", "", None]
+    rows = [(2**53 + 1, 2**60 + i, i, i * S, None if i % 3 == 0 else 'k"\\' + str(i % 2), S, 2 * S, False, n) for i, n in enumerate(notes)]
+    folder, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write_parts(spark, rows, schema, folder, 2)
+    run_with_beat(spark, lambda beats: gate_stream(stream(spark, folder, schema), beats=beats), table, state)
+    got = spark.read.parquet(table).select(*(c.split()[0] for c in schema.split(", "))).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == rows
