@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latchflow.llm.common import U64, checkpointed, mix, released, running, slices, windows
+from latchflow.llm.common import U64, checkpointed, mix, released, running, slices, small_batches, windows
 from latchflow.llm.components import components
 from latchflow.llm.signature_trees import link
 
@@ -150,8 +150,8 @@ def _tie(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = hashes[1:] != hashes[:-1]
     lead = ids[new][np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([ids[ids != lead], lead[ids != lead]], axis=1), axis=0)
-    return order[new], pairs[:, 0], pairs[:, 1]
+    tied = np.flatnonzero(ids != lead)
+    return order[new], *_distinct([ids[tied]], [lead[tied]])
 
 
 def _distinct(u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -295,18 +295,18 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
         key, group, labels, ids, first = None, [], [], [], 0
         for batch in batches:
             u, v = [], []
-            for row in batch.to_pylist():
-                now = (row["island"], row["i"], row["j"])
+            columns = (batch.column(c).to_pylist() for c in ("island", "i", "j", "block", "class_id", "label"))
+            for at, (*now, in_block, class_id, label) in enumerate(zip(*columns, strict=True)):
                 if now != key:
                     if key is not None:
                         a, b = close(group, labels, ids, first)
                         u += a
                         v += b
                     key, group, labels, ids, first = now, [], [], [], 0
-                group.append(row["shingles"])
-                labels.append(row["label"])
-                ids.append(row["class_id"])
-                first += row["i"] != row["j"] and row["block"] == row["i"]
+                group.append(batch.column("shingles")[at].as_py())
+                labels.append(label)
+                ids.append(class_id)
+                first += now[1] != now[2] and in_block == now[1]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
         if key is not None:
             a, b = close(group, labels, ids, first)
@@ -322,6 +322,11 @@ def _joined(sets: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
+    with small_batches(docs.sparkSession):
+        return _join(docs, words, percent, block)
+
+
+def _join(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = checkpointed(_digests(docs, words, percent))
     own = ["d1", "d2", "n"]

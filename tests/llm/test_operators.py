@@ -139,6 +139,27 @@ def test_join_whatever_a_task_gathers(spark, rows, monkeypatch):
     assert Counter(map(tuple, jaccard_join.join(table).collect())) == whole
 
 
+def test_join_sends_tasks_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    kept = jaccard_join.checkpointed
+
+    def checkpointed(df):
+        rows = spark.range(0, 2000, 1, 1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        seen.append(max(r["n"] for r in rows.collect()))
+        return kept(df)
+
+    monkeypatch.setattr(jaccard_join, "checkpointed", checkpointed)
+    table = [(i, prose(30)) for i in range(20)]
+    jaccard_join.join(spark.createDataFrame([*table, (99, table[0][1])], "doc_id long, text string")).collect()
+    assert len(seen) >= 3 and max(seen) <= common.BATCH_ROWS
+    assert spark.conf.get(name) == before
+    with pytest.raises(KeyError), common.small_batches(spark):
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.join(empty).count() == 0
 
