@@ -5,10 +5,11 @@ documents link when 100 * |a & b| >= percent * |a | b|. The steps:
 
 1. Equal sets become one class (two 64-bit sums and the size), its smallest doc_id the representative.
 2. Classes are cut into islands that cannot link with each other. Sizes fall into levels; sets of one
-   level that link differ in at most D shingles. The hash range is cut into D + 1 + SPARE buckets, so linked
-   sets have more than SPARE buckets of equal content, and meet in one: a set shows a hash of each
-   bucket with two shingles or more, for these are hardly ever equal by chance; if more than SPARE
-   buckets hold less, also those of one shingle, and if more are empty, also the empty ones.
+   level that link differ in at most D shingles. The hash range is cut into D + 1 + spare buckets. A set and
+   those it may link with at a level differ in fewer shingles if it is among the level's small ones; all buckets
+   but as many are of equal content, and one of these must be shown. A set shows a hash of each bucket with
+   three shingles or more, for these are hardly ever equal by chance or by a passage in common; if too many
+   buckets hold less, also those of two, then of one shingle, and at last the empty ones.
    Sets show these hashes at the level of every size they may link with. Equal hashes tie sets to the
    smallest id with the same hash, never to each other. A few hashes of each set (AHEAD a level) are
    tied first: alike sets share most of their hashes, so this already gives them one label. Then all
@@ -104,10 +105,16 @@ def buckets(j: int, percent: int) -> tuple[int, int]:
     """Number of buckets at a level, and how many more than the largest difference they are."""
     top = math.isqrt(math.isqrt(1 << j))
     most = 2 * top * (100 - percent) // (100 + percent)
-    spare = 3 + most * (100 - percent) // 40
+    spare = 3 + most * (100 - percent) // 80
     return most + 1 + spare, spare
 
 
+def differ(size: int, j: int, percent: int) -> int:
+    """Most shingles in which a set of this size differs from one of at most level j's size that it links with."""
+    top = math.isqrt(math.isqrt(1 << j))
+    return (size + min(top, size * 100 // percent)) * (100 - percent) // (100 + percent)
+
+
 def level_hashes(found: np.ndarray, percent: int) -> list[np.ndarray]:
     """The hashes by which a set meets those it may link with, level by level."""
     if not len(found):
@@ -116,12 +123,13 @@ def level_hashes(found: np.ndarray, percent: int) -> list[np.ndarray]:
     np.cumsum(mix(found), out=total[1:])
     out = []
     for j in range(level(len(found)), level(len(found) * 100 // percent) + 1):
-        count, spare = buckets(j, percent)
+        count, _ = buckets(j, percent)
         cuts = np.searchsorted(((found >> U64(32)) * U64(count)) >> U64(32), np.arange(count + 1))
         names = mix(np.arange(count, dtype=np.uint64) + U64(j << 40))
         hashes = mix((total[cuts[1:]] - total[cuts[:-1]]) ^ names)
         filled = cuts[1:] - cuts[:-1]
-        least = next((few for few in (2, 1) if np.count_nonzero(filled < few) <= spare), 0)
+        hidden = count - 1 - differ(len(found), j, percent)
+        least = next((few for few in (3, 2, 1) if np.count_nonzero(filled < few) <= hidden), 0)
         out.append(hashes[filled >= least])
     return out
 

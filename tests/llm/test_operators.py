@@ -177,6 +177,29 @@ def test_bucket_hashes_meet_for_all_linked_sets():
                     assert x & y
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bucket_hashes_meet_at_the_border_and_not_by_a_passage(percent):
+    rng = np.random.default_rng(7)
+
+    def hashes(found):
+        return set(jaccard_join.bucket_hashes(np.sort(found), percent).tolist())
+
+    for n in (3, 10, 40, 150, 333, 500, 700, 1200):
+        for _ in range(12):
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            b = a[: -(-n * percent // 100)]  # the smallest subset that links
+            new = (n * (100 - percent)) // (100 + percent)  # as many shingles exchanged as a link allows
+            c = np.concatenate([a[new:], rng.integers(0, 2**64, new, dtype=np.uint64)])
+            for other in (b, c):
+                if len(other) and signature_trees.similar(np.sort(a), np.sort(other), percent):
+                    assert hashes(a) & hashes(other)
+    # texts of about one size that have a passage of an eighth in common don't link, and few of them meet
+    passage = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    shown = [hashes(np.concatenate([passage, rng.integers(0, 2**64, int(n), dtype=np.uint64)])) for n in rng.integers(300, 400, 60)]
+    met = sum(bool(x & y) for i, x in enumerate(shown) for y in shown[:i])
+    assert met < 0.1 * 60 * 59 / 2
+
+
 def test_trees_find_all_links():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 2**64, 40, dtype=np.uint64)) for _ in range(30)]
