@@ -38,14 +38,16 @@ _W, _HALF, _ONE, _LAST = U64(32), U64(16), U64(1), U64(PARTS - 1)
 
 
 class Model:
-    """The adaptive state of `lanes` blocks."""
+    """The adaptive state of `lanes` blocks; ids go by their places among the frame's different ids.
 
-    def __init__(self, lanes: int, shares: "Shares"):
+    A slot holds four times the place predicted, plus the confidence, so that each step reaches for it once.
+    """
+
+    def __init__(self, lanes: int):
         self.row = np.arange(lanes, dtype=np.int64)
         self.slot, self.cell = self.row * SLOTS, self.row * 32
         self.at = [self.slot, self.slot]
-        self.last = [np.full(lanes * SLOTS, -1, dtype=np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, dtype=np.int8) for _ in range(2)]
+        self.last = [np.full(lanes * SLOTS, -4, dtype=np.int32) for _ in range(2)]
         self.weights = [np.full(lanes * 32, 1 << 14, dtype=np.int32) for _ in range(2)]
         self.counts = np.full((CLASSES, lanes), 16, dtype=np.int32)
         self.flat = self.counts.reshape(-1)
@@ -54,11 +56,11 @@ class Model:
         self.before = np.zeros(lanes, dtype=np.int64)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Widths of the parts of orders 2 and 1, of 65,536; the ids they predict are p2 and p1."""
-        i, j = self.at
-        self.p2, self.p1 = self.last[0].take(i), self.last[1].take(j)
-        self.s2, self.s1 = self.sure[0].take(i), self.sure[1].take(j)
-        self.state = self.cell + ((self.s2 * 8 + self.s1 * 2) + (self.p2 == self.p1))
+        """Widths of the parts of orders 2 and 1, of 65,536; the places they predict are p2 and p1 (none: -1)."""
+        self.held = self.last[0].take(self.at[0]), self.last[1].take(self.at[1])
+        self.p2, self.p1 = (held >> 2 for held in self.held)
+        self.sure = tuple(held & 3 for held in self.held)
+        self.state = self.cell + ((self.sure[0] * 8 + self.sure[1] * 2) + (self.p2 == self.p1))
         self.w2, self.v1 = self.weights[0].take(self.state), self.weights[1].take(self.state)
         self.w1 = ((65536 - self.w2) * self.v1.astype(np.int64)) >> 16
         return self.w2, self.w1
@@ -71,16 +73,16 @@ class Model:
             np.add(out[k - 1], counts[k], out=out[k])
         return out
 
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Take in the next id of each block, and which order coded it (neither: order 0)."""
+    def learn(self, x: np.ndarray, wide: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """Take in the place of the next id of each block (x, and in 64 bits), and which order coded it (neither: order 0)."""
         self.weights[0][self.state] = self.w2 + ((hit2 * 63488 + 1024 - self.w2) >> 4)
         self.weights[1][self.state] = self.v1 + (((hit1 * 63488 + 1024 - self.v1) >> 4) & (hit2 - 1))
-        for k, (guess, sure) in enumerate(((self.p2, self.s2), (self.p1, self.s1))):
-            hit = guess == ids
-            i = self.at[k]
-            self.last[k][i] = np.where(sure < 2, ids, guess)
-            self.sure[k][i] = np.where(hit, np.minimum(sure + 1, 3), sure >> 1)
-        wide = ids.astype(np.int64)
+        fresh = x << 2
+        for last, at, held, sure in zip(self.last, self.at, self.held, self.sure, strict=True):
+            hit = (held ^ fresh) < 4  # the same place, whatever the confidence
+            hit &= held >= 0
+            # one surer, at most 3; else half as sure, or from 0 and 1 the new place
+            last[at] = np.where(hit, held + (sure < 3), np.where(sure < 2, fresh, held - sure + 1))
         self.at = [
             self.slot + ((((self.before * 50021 + wide) * 2654435761) >> 12) & (SLOTS - 1)),
             self.slot + (((wide * 2654435761) >> 12) & (SLOTS - 1)),
@@ -175,16 +177,15 @@ class Encoder:
 def encode_blocks(ids: np.ndarray, shares: Shares, block: int) -> list[np.ndarray]:
     """The words of each block of `block` ids; the last one is filled up with its first known id."""
     lanes = -(-len(ids) // block)
-    place = np.zeros(lanes * block, dtype=np.int64)
-    index = np.zeros(int(shares.names[-1]) + 1, dtype=np.int64)
+    place = np.zeros(lanes * block, dtype=np.int32)
+    index = np.zeros(int(shares.names[-1]) + 1, dtype=np.int32)
     index[shares.names] = np.arange(len(shares.names))
     place[: len(ids)] = index[ids]
     place = np.ascontiguousarray(place.reshape(lanes, block).T)
-    model, coder = Model(lanes, shares), Encoder(lanes, block)
-    names, starts = shares.names.astype(np.int32), shares.start.astype(np.uint64)
-    parts, kind_of = shares.parts.astype(np.uint64), shares.kinds * lanes
-    for now in place:
-        x = names.take(now)
+    model, coder = Model(lanes), Encoder(lanes, block)
+    starts, parts, kind_of = shares.start.astype(np.uint64), shares.parts.astype(np.uint64), shares.kinds * lanes
+    for x in place:
+        now = x.astype(np.int64)
         w2, w1 = model.predict()
         hit2 = model.p2 == x
         hit1 = (model.p1 == x) & ~hit2
@@ -204,7 +205,7 @@ def encode_blocks(ids: np.ndarray, shares: Shares, block: int) -> list[np.ndarra
         coder.narrow(unit, starts.take(now) * plain, np.where(plain, parts.take(now), _ONE))
         coder.send()
         model.count(cell, plain)
-        model.learn(x, hit2, hit1)
+        model.learn(x, now, hit2, hit1)
     return coder.finish()
 
 
@@ -217,8 +218,8 @@ def decode_blocks(blocks: list[np.ndarray], shares: Shares, block: int) -> np.nd
     row, at = np.arange(lanes), np.full(lanes, 2)
     code = (words[:, 0] << _W) | words[:, 1]
     width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    model, places = Model(lanes, shares), shares.places()
-    out = np.zeros((block, lanes), dtype=np.uint32)
+    model, places = Model(lanes), shares.places()
+    out = np.zeros((block, lanes), dtype=np.int32)
 
     def fetch():
         small = np.flatnonzero(width < _TOP)
@@ -227,7 +228,7 @@ def decode_blocks(blocks: list[np.ndarray], shares: Shares, block: int) -> np.nd
             width[small] <<= _W
             at[small] += 1
 
-    names, starts, parts = shares.names.astype(np.int32), shares.start.astype(np.uint64), shares.parts.astype(np.uint64)
+    starts, parts = shares.start.astype(np.uint64), shares.parts.astype(np.uint64)
     places = places.reshape(-1)
     for step in range(block):
         w2, w1 = model.predict()
@@ -256,11 +257,11 @@ def decode_blocks(blocks: list[np.ndarray], shares: Shares, block: int) -> np.nd
         code -= unit * (starts.take(found) * plain)
         width = unit * np.where(plain, parts.take(found), _ONE)
         fetch()
-        x = np.where(plain, names.take(found), np.where(hit2, model.p2, model.p1))
-        out[step] = x
+        now = np.where(plain, found, np.where(hit2, model.p2, model.p1)).astype(np.int64)
+        out[step] = now
         model.count(cell, plain)
-        model.learn(x, hit2, hit1)
-    return np.ascontiguousarray(out.T)
+        model.learn(out[step], now, hit2, hit1)
+    return shares.names.astype(np.uint32).take(out.T)
 
 
 def write_frame(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:

@@ -330,6 +330,23 @@ def test_long_words_are_not_remembered():
     assert max(map(len, [*held.words, *held.older])) == token_files.KEPT
 
 
+def test_words_share_their_pieces():
+    """Words that differ in case or by signs cost the library one call, and ids stay those of whole texts."""
+    path = token_files.vocabulary()
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    rng = np.random.default_rng(9)
+    bits = [*"abzAKZ019.,-!_'\"<|>#", "'s", "'RE", "don't", " ", "\n", "é", "É", "ß", "Ÿ", "×", "÷", "İ", "ı", "ŉ", "ſ", "\u0307", "\u0338",
+            "中", "…", "\u00a0", "\x1c", "\x7f", "²", "\u212a", "ª", "<|endoftext|>", "<|STARTOFTEXT|>"]
+    for some in (bits, [b for b in bits if "|" not in b]):
+        texts = ["".join(rng.choice(some, n)) for n in rng.integers(0, 25, 1500)]
+        want = [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, token_files.END]]
+        assert np.concatenate([i for i, _ in token_files.encoded(pa.array(texts), path)]).tolist() == want
+    held = token_files._worker(path)
+    held.words, held.older = {}, {}
+    list(token_files.encoded(pa.array(["qzxv Qzxv, (QZXV) qzxv... qzxv-qzxv\" qZxV7"]), path))
+    assert [w for w in held.words if w.lower().count(b"qzxv")] == [b"qzxv"]
+
+
 def test_toxicity_on_held_out_documents(spark, docs, rows, empty):
     def made(i):
         words = prose(60).split(" ")
