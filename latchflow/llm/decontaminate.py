@@ -11,17 +11,29 @@ Items of 4 to 7 tokens leak where all their tokens stand in a row; shorter ones
 empty texts leak nowhere; a null doc_id or item_id stays null. Repeated rows fall into the same pair. Empty
 tables give an empty result. Other columns are ignored.
 
-The benchmark is the query set: it is broadcast in blocks of about BLOCK token positions, each scanned
-against all documents, so the broadcast is bounded at any size of the benchmark.
+The benchmark is the query set: its seeds' hashes are broadcast, and the tokens around hits are held against
+blocks of about BLOCK token positions, which are broadcast too. A larger benchmark takes several of both, one after
+another, and hits wait in the shared folder, so no broadcast grows with the benchmark. Documents are scanned in pieces
+of PIECE positions, so the rows that a task holds don't grow with the hits in a document.
 """
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latchflow.llm.common import checkpointed, released
+
 MASKS = ("110111", "11101", "1110011")
 WINDOW, SHARE = 13, 80
 SHORT = range(4, 8)
 BLOCK = 50_000
+#: Hashes that documents are scanned for at a time, for each position of a block.
+HASHES = 10
+#: Positions of a piece, and the tokens before and after a seed that its windows reach.
+PIECE = 256
+BEFORE, AFTER = WINDOW - min(len(m) for m in MASKS), WINDOW - 1
 
 
 #: Scripts without spaces between words: every character is a token.
@@ -52,7 +64,7 @@ def _need(size: Column) -> Column:
 
 
 def seeds(benchmark: DataFrame) -> DataFrame:
-    """h, item_id, span, size (of windows), need, and the tokens around each seed of the benchmark."""
+    """h, item_id, span, size (of windows), need, the tokens around each seed of the benchmark, and a hash of its place."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("w")).where(
         F.size("w") >= SHORT.start
     )
@@ -67,39 +79,64 @@ def seeds(benchmark: DataFrame) -> DataFrame:
     size = F.least(F.lit(WINDOW), F.col("n"))
     around = F.transform(F.sequence(F.col("span") - F.col("size"), F.col("size") - 1), lambda k: F.get("w", F.col("at") + k))
     return (
-        placed.select("item_id", "w", "n", "at", F.explode(every).alias("s"))
-        .select("item_id", "w", "at", "s.h", "s.span", size.alias("size"))
-        .select("h", "item_id", "span", "size", _need(F.col("size")).alias("need"), around.alias("around"), "at")
+        placed.select("item_id", "w", "n", "at", F.xxhash64("item_id", "at", "w").alias("place"), F.explode(every).alias("s"))
+        .select("item_id", "w", "at", "place", "s.h", "s.span", size.alias("size"))
+        .select("h", "item_id", "span", "size", _need(F.col("size")).alias("need"), around.alias("around"), "place")
     )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, n_agreeing (windows by seed that agree) and agreement (best share of a window)."""
     wanted = seeds(benchmark)
-    positions = wanted.select("item_id", "at").distinct().count()
+    count, different = wanted.agg(F.count("*"), F.count_distinct("h")).first()
     short = {r["span"] for r in wanted.where(F.col("size") < SHORT.stop).select("span").distinct().collect()}
-    parts = -(-positions // block) or 1
-    found = [
-        _hits(docs, wanted.where(F.pmod(F.xxhash64("item_id", "at"), F.lit(parts)) == i), key, short) for i in range(parts)
-    ]
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    return hits.groupBy(key, "item_id").agg(F.count("*").alias("n_agreeing"), F.max("share").alias("agreement"))
-
-
-def _hits(docs: DataFrame, wanted: DataFrame, key: str, short: set[int]) -> DataFrame:
-    """One row per agreeing window and seed of a document in it."""
+    hashes = wanted.select("h").distinct()
+    parts, scans = (-(-n // m) or 1 for n, m in ((count, len(MASKS) * block), (different, HASHES * block)))
+    if parts == 1:
+        return _pairs(_hits(docs, hashes, key, short), wanted, key)
+    hits = _joined(_hits(docs, hashes.where(F.pmod("h", F.lit(scans)) == i), key, short) for i in range(scans))
+    found = _joined(_pairs(hits, wanted.where(F.pmod("place", F.lit(parts)) == i), key) for i in range(parts))
+    return found.groupBy(key, "item_id").agg(
+        F.sum("n_agreeing").alias("n_agreeing"), F.max("agreement").alias("agreement")
+    )
+
+
+def _joined(steps: Iterator[DataFrame]) -> DataFrame:
+    """All rows of the steps, which run one after another; what each has broadcast is let go."""
+    found = []
+    for step in steps:
+        found.append(checkpointed(step))
+        released(step.sparkSession)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _hits(docs: DataFrame, hashes: DataFrame, key: str, short: set[int]) -> DataFrame:
+    """h and the tokens around each seed of a document that has one of the hashes."""
     used = [(i, m) for i, (m, low, high) in enumerate(masks()) if low != high or low in short]
+    # A compiled stage keeps all rows that it makes of one input row until they are read, so no stage may turn a whole
+    # text into its hits. Pieces, `near` and `same` are lambdas, which Spark doesn't compile: there a stage ends.
+    texts = docs.select(key, tokens(F.col("text")).alias("w"))
+    starts = F.sequence(F.lit(0), F.array_size("w") - 1, F.lit(PIECE))
+    cut = F.transform(starts, lambda s: F.struct(
+        F.slice("w", F.greatest(s - BEFORE, F.lit(0)) + 1, F.least(s, F.lit(BEFORE)) + PIECE + AFTER).alias("w"),
+        F.least(s, F.lit(BEFORE)).alias("first"),
+    ))
+    pieces = texts.select(key, F.explode_outer(cut).alias("piece")).select(key, "piece.w", "piece.first")
+    own = F.sequence(F.col("first"), F.least(F.col("first") + PIECE, F.array_size("w")) - 1)
     words, at = F.col("w"), F.col("p")
     shown = (
-        docs.select(key, tokens(F.col("text")).alias("w"))
-        .select(key, "w", F.posexplode_outer("w").alias("p", "_"))
+        pieces.select(key, "w", F.explode_outer(own).alias("p"))
         .select(key, "w", "p", F.explode_outer(F.array(*(_seed(words, at, i, m) for i, m in used))).alias("h"))
     )
-    met = shown.join(F.broadcast(wanted.drop("at")), "h")
+    near = F.transform(F.sequence(F.lit(-BEFORE), F.lit(AFTER)), lambda k: F.get(words, at + k))
+    return shown.join(F.broadcast(hashes), "h", "left_semi").select(key, "h", near.alias("near"))
+
+
+def _pairs(hits: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """What leaks() returns, of these hits and seeds of the benchmark."""
+    met = hits.join(F.broadcast(wanted.drop("place")), "h")
     same = F.zip_with(
-        F.transform(F.sequence(F.col("span") - F.col("size"), F.col("size") - 1), lambda k: F.get(words, at + k)),
+        F.transform(F.sequence(F.col("span") - F.col("size"), F.col("size") - 1), lambda k: F.get("near", k + BEFORE)),
         F.col("around"),
         lambda a, b: F.when(a == b, 1).otherwise(0),
     )
@@ -108,12 +145,13 @@ def _hits(docs: DataFrame, wanted: DataFrame, key: str, short: set[int]) -> Data
         lambda s: F.aggregate(F.slice("same", s, F.col("size")), F.lit(0), lambda a, x: a + x),
     )
     # Exploding the windows keeps the comparison out of the join's condition, so the join is compiled.
-    return (
+    agreeing = (
         met.select(key, "item_id", "size", "need", "span", same.alias("same"))
         .select(key, "item_id", "size", "need", F.explode_outer(sums).alias("equal"))
         .where("equal >= need")
         .select(key, "item_id", (F.col("equal") * 100 / F.col("size")).alias("share"))
     )
+    return agreeing.groupBy(key, "item_id").agg(F.count("*").alias("n_agreeing"), F.max("share").alias("agreement"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

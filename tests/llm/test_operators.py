@@ -238,6 +238,28 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_texts(spark):
+    """200,000 tokens with 22,000 hits: a task that takes along all tokens for each of them needs 100 GB."""
+    item, some = [f"item{i}" for i in range(20)], [f"w{i}" for i in range(380)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[1:]))], "item_id long, text string")
+    table = spark.createDataFrame(
+        [(1, " ".join([*item, *some] * 500)), (2, " ".join([*item, *some])), (3, " ".join(item[:9])), (4, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_agreeing"], r["agreement"]) for r in decontaminate.leaks(table, bench).collect()}
+    assert set(got) == {(d, k) for d in (1, 2) for k in (1, 2)}
+    for k in (1, 2):
+        assert got[2, k][0] > 10 and got[1, k] == (500 * got[2, k][0], 100.0)
+
+
+def test_decontamination_with_blocks(spark):
+    """A benchmark of many blocks gives the same rows, with rows that repeat and without ids."""
+    text = prose(300).split(" ")
+    items = [(i % 7 or None, " ".join(text[i * 9 : i * 9 + (i % 5) * 5 + 4])) for i in range(30)] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(1, " ".join(text)), (None, " ".join(text[:280])), (1, " ".join(text[40:100]))], "doc_id long, text string")
+    one, many = (sorted(map(repr, decontaminate.leaks(table, bench, block=n).collect())) for n in (50_000, 100))
+    assert one == many and len(one) > 10
+
+
 def test_mix(docs, rows, empty):
     found = mixing.mix(docs).collect()
     assert len(found) == len(rows)
