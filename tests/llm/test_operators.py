@@ -250,6 +250,16 @@ def test_decontamination_of_long_texts(spark):
         assert got[2, k][0] > 10 and got[1, k] == (500 * got[2, k][0], 100.0)
 
 
+def test_unseen_documents_of_long_texts(spark, tmp_path):
+    """The stage drops a text of 150,000 tokens with many passages and keeps one without, in rows of all columns."""
+    item, some = [f"item{i}" for i in range(20)], [f"w{i}" for i in range(380)]
+    spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[1:]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, " ".join([*item, *some] * 375)), (2, " ".join(some * 390)), (None, " ".join(item)), (4, None)]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in texts], "doc_id long, text string, lang string")
+    kept = dict(corpus_pipeline.STAGES)["unseen_documents"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {(r["doc_id"], r["text"], r["lang"]) for r in kept.collect()} == {(*texts[1], "en"), (*texts[3], "en")}
+
+
 def test_decontamination_with_blocks(spark):
     """A benchmark of many blocks gives the same rows, with rows that repeat and without ids."""
     text = prose(300).split(" ")
